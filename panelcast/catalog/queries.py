@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelcast import session
 from panelcast.functions import scalar
 from panelcast.models.hybrid import FusedTrees
 from panelcast.models.naive import naive_rollout, naive_value
@@ -164,7 +165,7 @@ def lag_observed(spark, d):
 
 @query
 def reservations_daily(spark, d):
-    return r6(daily_bookings(bindings.reservations(spark, d)), "reserve_lead_time_mean")
+    return r6(bindings.reservations_daily(spark, d), "reserve_lead_time_mean")
 
 
 @query
@@ -432,17 +433,14 @@ def select_best(spark, d):
     tries = [("seasonal_naive", _naive_preds(visits, folds))] + [
         ("window_profile", _block_preds(visits, folds, context=c)) for c in CONTEXT_GRID
     ]
-    preds = union_all(
-        [
-            p.withColumn("model", F.lit(m)).withColumn("ordinal", F.lit(i))
-            for i, (m, p) in enumerate(tries)
-        ]
-    )
-    scores = report.cv_scores(preds, "model", "ordinal", weights=WEIGHTS)
-    best = ranking.best_per_model(r6(scores, *SUITE), "rmsle")
-    first = ranking.best_overall(best, "rmsle").select("model", F.lit(1).alias("w"))
-    flagged = best.join(first, "model", "left").withColumn("is_winner", F.coalesce("w", F.lit(0)))
-    return flagged.drop("w")
+    labelled = [
+        p.withColumn("model", F.lit(m)).withColumn("ordinal", F.lit(i))
+        for i, (m, p) in enumerate(tries)
+    ]
+    scores = report.cv_scores(union_all(labelled), "model", "ordinal", weights=WEIGHTS)
+    best = session.stage(ranking.best_per_model(r6(scores, *SUITE), "rmsle"), "best")
+    winner = ranking.best_overall(best, "rmsle").select("model").scalar()
+    return best.withColumn("is_winner", (F.col("model") == winner).cast("int"))
 
 
 @query
@@ -457,7 +455,9 @@ def pred_vs_real_daily(spark, d):
 
 @query
 def residual_histogram(spark, d):
-    return r6(report.residual_histogram(_holdout_preds(spark, d)), "left_edge")
+    # Read three times (sketch, counts, bins), so it is computed once into a table.
+    preds = session.stage(_holdout_preds(spark, d), "holdout")
+    return r6(report.residual_histogram(preds), "left_edge")
 
 
 @query

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from abc import ABC, abstractmethod
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from panelcast.operators.history import history_columns
+from panelcast.schema import STORE
 
 
 class Forecaster(ABC):
@@ -36,6 +40,25 @@ class Forecaster(ABC):
         """Add columns to the future rows (store_id, date, step), once per rollout."""
         return scaffold
 
+    def pack_future(self, future: DataFrame) -> DataFrame:
+        """One column ``static`` per future row with all the model needs of that day.
+
+        By default every column as a struct; a model may keep something more compact.
+        """
+        known = [c for c in future.columns if c not in (STORE, "step")]
+        return future.select(STORE, "step", F.struct(*known).alias("static"))
+
+    def step(self, rows: DataFrame, static: Column, hist: Column) -> DataFrame:
+        """The frame plus ``y_pred`` for one day, from its static part and trailing values."""
+        given = rows.columns
+        wide = rows.select(
+            "*",
+            static.alias("_today"),
+            *[c.alias(name) for name, c in history_columns(hist).items()],
+        )
+        wide = wide.select("*", "_today.*").drop("_today")
+        return self.predict(wide).select(*given, "y_pred")
+
     def forecast_block(self, history: DataFrame, cutoff, horizon: int) -> DataFrame:
         """All future rows (store_id, date, y_pred) in one go."""
         raise NotImplementedError(f"{self.name} forecasts step by step")

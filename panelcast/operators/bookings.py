@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.functions.scalar import lead_time_days
 from panelcast.schema import DATE, KEYS, STORE
 
 LEAD_MEAN = "reserve_lead_time_mean"
@@ -36,6 +37,44 @@ def daily_bookings(reservations: DataFrame, as_of=None) -> DataFrame:
     return rows.groupBy(STORE, F.to_date(day).alias(DATE)).agg(*aggregates)
 
 
+def daily_bookings_from(
+    direct: DataFrame,
+    mapped: DataFrame,
+    relation: DataFrame,
+    store: str = STORE,
+    foreign: str = "hpg_store_id",
+) -> DataFrame:
+    """Daily bookings straight from the two raw sources.
+
+    Each source is first reduced to one row per (its own id, day); only then are foreign ids
+    mapped and the two merged. An id with a huge share of the bookings therefore reaches
+    the mapping join as one row per day. Equal to ``daily_bookings`` of the row-level union.
+    """
+    lead = lead_time_days("visit_datetime", "reserve_datetime")
+
+    def per_day(df, key):
+        return df.groupBy(key, F.to_date("visit_datetime").alias(DATE)).agg(
+            F.sum("reserve_visitors").alias("_guests"),
+            F.count("*").alias("_n"),
+            F.sum(lead).alias("_lead"),
+            F.count(lead).alias("_lead_n"),
+        )
+
+    parts = [DATE, "_guests", "_n", "_lead", "_lead_n"]
+    ids = relation.select(F.col(store).alias(STORE), foreign)
+    own = per_day(direct, store).withColumnRenamed(store, STORE).select(STORE, *parts)
+    foreign_rows = per_day(mapped, foreign).join(ids, foreign, "inner").select(STORE, *parts)
+    return (
+        own.unionByName(foreign_rows)
+        .groupBy(*KEYS)
+        .agg(
+            F.sum("_guests").cast("double").alias("reserve_visitors"),
+            F.sum("_n").alias("reserve_count"),
+            (F.sum("_lead") / F.nullif(F.sum("_lead_n"), F.lit(0))).alias(LEAD_MEAN),
+        )
+    )
+
+
 def default_bookings(df: DataFrame) -> DataFrame:
     """Absent bookings count as zero; missing columns are added (lead time only if known)."""
     filled = {}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: list[float], accuracy: int = 10_000):
+def exact_quantiles(df: DataFrame, value: str, probs: list[float], accuracy: int = 50_000):
     """Interpolated quantiles (rank ``p * (n - 1)``) of all rows, as one array row.
 
     A mergeable sketch brackets each wanted rank to within n / accuracy rows. Distinct

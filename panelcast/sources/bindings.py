@@ -10,6 +10,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelcast.operators.bookings import daily_bookings_from
 from panelcast.schema import DATE, STORE, TARGET, PanelData
 from panelcast.sources.tables import reservations_from
 
@@ -81,6 +82,10 @@ def reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reservations_from(*booking_sources(spark, sf_dir))
 
 
+def reservations_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return daily_bookings_from(*booking_sources(spark, sf_dir))
+
+
 def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     return (
@@ -112,9 +117,10 @@ def holidays(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
 
 
 def load(spark: SparkSession, sf_dir: str) -> PanelData:
+    """All inputs; bookings already reduced to days before any id is mapped."""
     return PanelData(
         visits=visits(spark, sf_dir),
-        reservations=reservations(spark, sf_dir),
+        reservations=reservations_daily(spark, sf_dir),
         stores=stores(spark, sf_dir),
         holidays=holidays(spark),
     )
