@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.scalar import clip_nonneg, day_of_week
 from panelcast.models.base import Forecaster
-from panelcast.operators.splits import Split, fold_profiles, trailing_rows
+from panelcast.operators.splits import Split, fold_levels, trailing_rows
 from panelcast.schema import DATE, STORE, TARGET, TRIM_DAYS
 
 SEASON = 7
@@ -64,7 +64,7 @@ def naive_rollout(visits: DataFrame, splits: list[Split], horizon: int) -> DataF
             *[F.max(F.when(back == j, F.col(TARGET))) for j in range(SEASON)]
         ).alias("back_values"),
     )
-    profiles = fold_profiles(visits, splits, medians=False)
+    profiles = fold_levels(visits, splits)
     # The global fallback averages the dense grid: all targets over all span days.
     span = F.datediff("last_day", "first_day") + 1
     means = profiles.groupBy("fold").agg((F.sum("total") / F.sum(span)).alias("global_mean"))

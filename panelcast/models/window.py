@@ -47,7 +47,7 @@ class WeekdayProfile(BlockForecaster):
 
         def on_phase(phase):
             picked = F.filter(ys, lambda v, i: (n - 1 - i) % 7 == phase)
-            return F.array_sort(F.when(F.size(picked) > 0, picked).otherwise(ys))
+            return F.sort_array(F.when(F.size(picked) > 0, picked).otherwise(ys))
 
         phases = F.array(*[on_phase(p) for p in range(7)])
         sorted_phases = windows.select(*keys, phases.alias("_phases"))

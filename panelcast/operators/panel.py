@@ -123,7 +123,7 @@ def series_arrays(dense: DataFrame, *keys: str) -> DataFrame:
     their length is bounded by the calendar span.
     """
     keys = keys or (STORE,)
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(DATE).alias("d"), F.col(TARGET).alias("y"))))
+    pairs = F.sort_array(F.collect_list(F.struct(F.col(DATE).alias("d"), F.col(TARGET).alias("y"))))
     return (
         dense.groupBy(*keys)
         .agg(F.min(DATE).alias("first_day"), pairs.alias("_pairs"))

@@ -133,54 +133,108 @@ def fold_slices(visits: DataFrame, splits: list[Split]) -> DataFrame:
     )
 
 
-def fold_profiles(visits: DataFrame, splits: list[Split], medians: bool = True) -> DataFrame:
-    """Store levels of every fold's own training slice, one row per (fold, store).
+def fold_levels(visits: DataFrame, splits: list[Split]) -> DataFrame:
+    """Mean levels of every fold's own training slice, one row per (fold, store).
 
-    Training slices nest, so rows are first reduced to value counts per (store, weekday,
-    earliest fold) and only those counts are repeated over the later folds. Exact medians
-    come from the counts. Also carries the slice's first and last observed day and total.
+    Training slices nest, so rows are first reduced to sums per (store, weekday, earliest
+    fold) and only those sums are repeated over the later folds. Also carries the slice's
+    first and last observed day, total and count.
     """
     splits = sorted(splits, key=lambda s: s.train_end)
-    last = splits[-1].train_end
-    rows = visits.where(F.col(DATE) <= F.lit(last))
-    keys = [STORE, "dow", "_from"] + (["_value"] if medians else [])
-    counts = (
-        rows.select(
-            *KEYS,
-            F.col(TARGET).alias("_value"),
+    sums = (
+        visits.where(F.col(DATE) <= F.lit(splits[-1].train_end))
+        .groupBy(
+            STORE,
             scalar.day_of_week(F.col(DATE)).alias("dow"),
             first_fold(splits).alias("_from"),
         )
-        .groupBy(*keys)
         .agg(
-            F.count("_value").alias("_n"),
-            F.sum("_value").alias("_sum"),
+            F.count(TARGET).alias("_n"),
+            F.sum(TARGET).alias("_sum"),
             F.min(DATE).alias("_first"),
             F.max(DATE).alias("_last"),
         )
     )
-    spread = counts.withColumn("fold", F.explode(folds_from(splits, F.col("_from"))))
+    spread = sums.withColumn("fold", F.explode(folds_from(splits, F.col("_from"))))
 
     def mean(n, total):
         return F.sum(total) / F.nullif(F.sum(n), F.lit(0))
 
     n, total = F.col("_n"), F.col("_sum")
     on = [F.col("dow") == d for d in range(7)]
-    aggregates = [
+    return spread.groupBy("fold", STORE).agg(
         F.min("_first").alias("first_day"),
         F.max("_last").alias("last_day"),
         F.sum(total).alias("total"),
-        F.sum(n).alias("n_open"),
         mean(n, total).alias("store_mean"),
         F.array(*[mean(F.when(c, n), F.when(c, total)) for c in on]).alias("_dow_mean"),
-    ]
-    if medians:
-        v = F.col("_value")
-        aggregates += [
-            F.percentile(v, 0.5, n).alias("store_median"),
-            F.array(*[F.percentile(F.when(c, v), 0.5, n) for c in on]).alias("_dow_median"),
-        ]
-    return spread.groupBy("fold", STORE).agg(*aggregates)
+    )
+
+
+def _sorted_mean(values: Column) -> Column:
+    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+    return total / F.nullif(F.size(values), F.lit(0))
+
+
+def _sorted_median(values: Column) -> Column:
+    """Median of an ascending array of any length; null when empty."""
+    n = F.size(values)
+    low, high = F.floor((n + 1) / 2).cast("int"), F.floor((n + 2) / 2).cast("int")
+    return F.when(n > 0, (F.get(values, low - 1) + F.get(values, high - 1)) / 2)
+
+
+def fold_profiles(visits: DataFrame, splits: list[Split]) -> DataFrame:
+    """Means and exact medians of every fold's training slice, one row per (fold, store).
+
+    Medians of nested slices cannot be merged, but they need no repeated rows either: a
+    store's values are gathered once, sorted by value, each with the earliest fold that
+    trains on it. A fold's slice is a filter of that array and is still sorted. The array
+    is bounded by the calendar. Also carries the slice's last observed day.
+    """
+    splits = sorted(splits, key=lambda s: s.train_end)
+    value = F.col(TARGET).cast("double")
+    item = F.struct(value.alias("v"), F.col("_from").alias("f"))
+    dow = scalar.day_of_week(F.col(DATE))
+    rows = visits.where(F.col(DATE) <= F.lit(splits[-1].train_end)).withColumn(
+        "_from", first_fold(splits)
+    )
+    days = F.struct(F.col(DATE).alias("d"), F.col("_from").alias("f"))
+    gathered = rows.groupBy(STORE).agg(
+        F.collect_list(days).alias("_days"),
+        F.sort_array(F.collect_list(F.when(value.isNotNull(), item))).alias("_all"),
+        F.array(
+            *[
+                F.sort_array(F.collect_list(F.when(value.isNotNull() & (dow == d), item)))
+                for d in range(7)
+            ]
+        ).alias("_by_dow"),
+    )
+
+    def known(items, i):
+        return F.transform(F.filter(items, lambda x: x["f"] <= i), lambda x: x["v"])
+
+    labels = F.array(*[F.lit(s.fold) for s in splits])
+
+    def slice_of(i):
+        days = F.filter("_days", lambda x: x["f"] <= i)
+        return F.struct(
+            F.get(labels, i).alias("fold"),
+            F.array_max(F.transform(days, lambda x: x["d"])).alias("last_day"),
+            known(F.col("_all"), i).alias("_values"),
+            F.transform("_by_dow", lambda items: known(items, i)).alias("_dow_values"),
+        )
+
+    slices = F.transform(F.sequence(F.lit(0), F.lit(len(splits) - 1)), slice_of)
+    per_fold = gathered.select(STORE, F.inline(slices)).where(F.col("last_day").isNotNull())
+    return per_fold.select(
+        "fold",
+        STORE,
+        "last_day",
+        _sorted_mean(F.col("_values")).alias("store_mean"),
+        _sorted_median(F.col("_values")).alias("store_median"),
+        F.transform("_dow_values", _sorted_mean).alias("_dow_mean"),
+        F.transform("_dow_values", _sorted_median).alias("_dow_median"),
+    )
 
 
 def fold_entity_stats(visits: DataFrame, splits: list[Split]) -> DataFrame:
