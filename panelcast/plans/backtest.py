@@ -139,8 +139,9 @@ class Backtest:
         def one(split):
             return self.fold_predictions(spec, params, split, selected)
 
+        run = inheritable_thread_target(visits.sparkSession)(one)
         with ThreadPoolExecutor(max(1, self.parallel)) as pool:
-            jobs = [pool.submit(inheritable_thread_target(one), s) for s in self.splits]
+            jobs = [pool.submit(run, s) for s in self.splits]
             frames = [j.result() for j in jobs]
         preds = reduce(DataFrame.unionByName, frames)
         return score_alignment(preds, visits, self.splits)
