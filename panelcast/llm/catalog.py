@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from panelcast.llm.queries_tokens import op8_bpe
+from panelcast.llm.queries_privacy import op6_secrets
+from panelcast.llm.queries_tokens import OP2_SQL, op2_chat, op8_bpe
 
 QUERIES = {
+    "op2_chat": op2_chat,
+    "op6_secrets": op6_secrets,
     "op8_bpe": op8_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_chat": OP2_SQL,
+}
