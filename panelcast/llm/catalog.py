@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from panelcast.llm.queries_mix import op7_mix
 from panelcast.llm.queries_privacy import op6_secrets
+from panelcast.llm.queries_quality import op10_quality
 from panelcast.llm.queries_tokens import OP2_SQL, op2_chat, op8_bpe
 
 QUERIES = {
@@ -11,6 +12,7 @@ QUERIES = {
     "op6_secrets": op6_secrets,
     "op7_mix": op7_mix,
     "op8_bpe": op8_bpe,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
