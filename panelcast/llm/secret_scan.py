@@ -28,7 +28,7 @@ BASE_KINDS = ("assign", "access", "hex")
 RANDOM_KIND = "random"
 KINDS = (*BASE_KINDS, RANDOM_KIND)
 
-#: Documents in the training sample: those with the smallest text hashes.
+#: Distinct documents in the training sample, in expectation: those in one of so many hash classes.
 SAMPLE_DOCUMENTS = 2000
 #: Seeded random strings per alphabet in the training sample.
 SAMPLE_STRINGS = 400
@@ -102,7 +102,8 @@ def _transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, text: str = "text", documents: int = SAMPLE_DOCUMENTS) -> np.ndarray:
     """The log-ratio of each transition, random against ordinary: a small fixed-size matrix."""
     texts = docs.select(F.col(text).alias("text")).where(F.length("text") > 0)
-    sample = texts.orderBy(F.xxhash64("text"), "text").limit(documents)
+    classes = max(1, texts.count() // documents)
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(classes)) == 0).distinct()
     parts = sample.mapInArrow(_transitions, "label long, a long, b long, n long")
     counts = np.zeros((2, _START + 1, _START))
     for row in parts.groupBy("label", "a", "b").agg(F.sum("n").alias("n")).collect():
