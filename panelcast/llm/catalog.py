@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from panelcast.llm.queries_dedup import op9_ngram_join
 from panelcast.llm.queries_mix import op7_mix
 from panelcast.llm.queries_privacy import op6_secrets
 from panelcast.llm.queries_quality import op10_quality
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_secrets": op6_secrets,
     "op7_mix": op7_mix,
     "op8_bpe": op8_bpe,
+    "op9_ngram_join": op9_ngram_join,
     "op10_quality": op10_quality,
 }
 
