@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import html_cut
+from panelcast.llm import html_cut, url_rules
 from panelcast.llm.tables import table
 
 
@@ -14,3 +14,22 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     found = html_cut.extract(pages, html_cut.train(pages)).select("page_id", "url", "text")
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+# The rules of the contract.
+URL_RULES = (
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+)
+
+
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL; pages take the labels of their own number."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), "quality", "toxic")
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    rules = url_rules.mine(pages.join(labels, "page_id").select("url", bad.alias("bad")))
+    return url_rules.judge(pages, rules, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
