@@ -6,7 +6,7 @@ from panelcast.llm.queries_dedup import op9_ngram_join
 from panelcast.llm.queries_fingerprints import op1_imatch
 from panelcast.llm.queries_mix import op7_mix
 from panelcast.llm.queries_pages import op3_urls, op5_html
-from panelcast.llm.queries_privacy import op6_secrets
+from panelcast.llm.queries_privacy import op4_pii, op6_secrets
 from panelcast.llm.queries_quality import op10_quality
 from panelcast.llm.queries_tokens import OP2_SQL, op2_chat, op8_bpe
 
@@ -14,6 +14,7 @@ QUERIES = {
     "op1_imatch": op1_imatch,
     "op2_chat": op2_chat,
     "op3_urls": op3_urls,
+    "op4_pii": op4_pii,
     "op5_html": op5_html,
     "op6_secrets": op6_secrets,
     "op7_mix": op7_mix,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import secret_scan
+from panelcast.llm import pii, secret_scan
 from panelcast.llm.tables import table
 
 
@@ -25,3 +25,15 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secret_scan.spans_text(base), 256).alias("base_sha256"),
         secret_scan.spans_text(F.col("spans")).alias("spans"),
     )
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text: counts and digest of the fixed formats, and all spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs)).select("doc_id", "base_spans", "spans")
+    return found.select(
+        "doc_id",
+        *[_count("base_spans", kind) for kind in pii.KINDS],
+        F.sha2(secret_scan.spans_text(F.col("base_spans")), 256).alias("base_sha256"),
+        secret_scan.spans_text(F.col("spans")).alias("spans"),
+    )
