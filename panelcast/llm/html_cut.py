@@ -57,7 +57,8 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<({'|'.join(RAW_TAGS)})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>"
-    r"|<[!?][^>]*>",
+    r"|<[!?][^>]*>"
+    r"|</?[a-zA-Z][^<>]*\Z",
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)

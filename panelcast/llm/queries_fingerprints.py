@@ -2,81 +2,67 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm import imatch
+from panelcast.llm.ordering import in_order
 from panelcast.llm.tables import table
 
 #: Rows edited at once.
 _ROWS = 256
 
 
-def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row with its edited text; the row after it supplies the new end.
+def _edits(kept: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Fingerprints of each row and of its edited text, and its successor's fingerprint.
 
-    The rows of a block are followed by its context row, which is passed on without an edit.
+    The rows of a block are followed by its context row, which only serves as a successor. All of
+    it happens in one pass, so a task needs one Python worker.
     """
-    held: tuple | None = None
-    out: list[tuple] = []
-    names = ["doc_id", "text", "edited", "block", "context"]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.float64(), pa.bool_()]
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                docs, texts, context = (part.column(c).to_pylist() for c in ("doc_id", "text", "context"))
+                prints = imatch.fingerprint_batch(part.column("text"), kept.value)
+                rows = held + list(zip(docs, [t or "" for t in texts], context, prints, strict=True))
+                held = rows[-1:]
+                pairs = [(a, b) for a, b in zip(rows, rows[1:], strict=False) if not a[2]]
+                if not pairs:
+                    continue
+                edited = [a[1][: len(a[1]) - len(a[1]) // 3] + b[1][: len(a[1]) // 3] for a, b in pairs]
+                columns = [
+                    pa.array([a[0] for a, _ in pairs], pa.int64()),
+                    pa.array([len(a[1]) for a, _ in pairs], pa.int64()),
+                    pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]),
+                    pa.array([a[3] for a, _ in pairs]),
+                    pa.array(imatch.fingerprint_batch(pa.array(edited, pa.string()), kept.value)),
+                    pa.array([b[3] for _, b in pairs]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _EDITS.split(", ")])
 
-    for batch in batches:
-        for at in range(0, batch.num_rows, _ROWS):
-            part = batch.slice(at, _ROWS)
-            for doc, text, block, context in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                text = text or ""
-                if held is not None and not held[3]:
-                    cut = len(held[1]) // 3
-                    out.append((held[0], held[1], held[1][: len(held[1]) - cut] + text[:cut], held[2], False))
-                elif held is not None:
-                    out.append((held[0], held[1], "", held[2], True))
-                held = (doc, text, block, context)
-            if out:
-                yield batch_of(out)
-                out = []
-    if held is not None:
-        yield batch_of([(held[0], held[1], "", held[2], True)])
+    return run
 
 
-def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row's successor's fingerprint; context rows go."""
-    held: dict | None = None
-    for batch in batches:
-        rows, out = batch.to_pylist(), []
-        for row in rows:
-            if held is not None and not held["context"]:
-                out.append(held | {"next_fingerprint": row["fingerprint"]})
-            held = row
-        if out:
-            schema = batch.schema.append(pa.field("next_fingerprint", pa.string()))
-            yield pa.RecordBatch.from_pylist(out, schema)
+_EDITS = (
+    "doc_id long, n_chars long, edited_sha256 string, fingerprint string,"
+    " edited_fingerprint string, next_fingerprint string"
+)
 
 
 def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how alike they are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = spark.sparkContext.broadcast(imatch.lexicon(docs))
-    ordered = imatch.in_order(docs, "doc_id", ["doc_id", "text"]).select("doc_id", "text", "block", "context")
-    edited = ordered.mapInArrow(_edited, "doc_id long, text string, edited string, block double, context boolean")
-    both = imatch.fingerprints(edited, kept, {"text": "fingerprint", "edited": "edited_fingerprint"})
-    slim = both.select(
-        "doc_id",
-        F.length("text").cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        "fingerprint",
-        "edited_fingerprint",
-        "context",
-    )
-    kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string"
-    ahead = slim.mapInArrow(_with_next, f"{kinds}, context boolean, next_fingerprint string")
+    ordered = in_order(docs, "doc_id", ["doc_id", "text"]).select("doc_id", "text", "context")
+    ahead = ordered.mapInArrow(_edits(kept), _EDITS)
     own = F.col("fingerprint")
     return ahead.select(
         "doc_id",
