@@ -48,8 +48,7 @@ def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with their number and whether they decode to the text."""
-    encoded = bpe.encode(docs.select(COLUMNS), RANK_FILE, public_tokenizers.PATTERN)
-    both = bpe.decode(encoded, RANK_FILE, public_tokenizers.PATTERN)
+    both = bpe.encode_and_decode(docs.select(COLUMNS), RANK_FILE, public_tokenizers.PATTERN)
     whole = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return both.select(
         "doc_id",

@@ -64,6 +64,17 @@ def encode_text(enc: tiktoken.Encoding, text: str) -> np.ndarray:
     return ids[0].view(np.int32) if len(ids) == 1 else np.concatenate(ids).view(np.int32)
 
 
+def _id_lists(enc: tiktoken.Encoding, texts: pa.Array) -> tuple[pa.Array, list[np.ndarray]]:
+    done = [encode_text(enc, t.as_py() or "") for t in texts]
+    ends = np.cumsum([0, *map(len, done)], dtype=np.int32)
+    flat = np.concatenate(done) if done else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), done
+
+
+def _raw_bytes(enc: tiktoken.Encoding, lists: list[np.ndarray]) -> pa.Array:
+    return pa.array([enc.decode_bytes(x.tolist()) for x in lists], pa.binary())
+
+
 def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Add the ids of each text as ``array<int>``."""
 
@@ -71,10 +82,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out:
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoding(rank_file, pattern)
         for texts in batches:
-            done = [encode_text(enc, t.as_py() or "") for t in texts]
-            ends = np.cumsum([0, *map(len, done)], dtype=np.int32)
-            flat = np.concatenate(done) if done else np.empty(0, np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            yield _id_lists(enc, texts)[0]
 
     return df.withColumn(out, ids(F.col(text)))
 
@@ -88,12 +96,28 @@ def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", out: s
         for lists in batches:  # a null list is an empty span
             flat = lists.values.to_numpy(zero_copy_only=False)
             ends = lists.offsets.to_numpy()
-            spans = zip(ends[:-1], ends[1:], strict=True)
-            yield pa.array([enc.decode_bytes(flat[a:b].tolist()) for a, b in spans], pa.binary())
+            yield _raw_bytes(enc, [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
 
     return df.withColumn(out, raw(F.col(ids)))
 
 
+def encode_and_decode(
+    df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded"
+) -> DataFrame:
+    """Add the ids and what they decode to, in one pass, so a task needs one Python worker."""
+
+    @F.arrow_udf("ids array<int>, raw binary")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        enc = encoding(rank_file, pattern)
+        for texts in batches:
+            lists, done = _id_lists(enc, texts)
+            yield pa.StructArray.from_arrays([lists, _raw_bytes(enc, done)], ["ids", "raw"])
+
+    kept = [c for c in df.columns if c not in (ids, decoded)]
+    made = df.select(*kept, both(F.col(text)).alias("both"))
+    return made.select(*kept, F.col("both.ids").alias(ids), F.col("both.raw").alias(decoded))
+
+
 def ids_digest(ids: Column) -> Column:
     """SHA-256 of the decimal ids joined by one space."""
     return F.sha2(F.concat_ws(" ", ids.cast("array<string>")).cast("binary"), 256)

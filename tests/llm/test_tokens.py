@@ -30,6 +30,8 @@ def test_encode_and_decode_edge_cases(spark):
     for row in out:
         assert row["ids"] == enc.encode_ordinary(row["text"] or "")
         assert bytes(row["decoded"]).decode() == (row["text"] or "")
+    both = bpe.encode_and_decode(df, RANKS, P.PATTERN).select(out[0].__fields__).orderBy("doc_id").collect()
+    assert both == out
     empty = bpe.encode(df.limit(0), RANKS, P.PATTERN)
     assert empty.count() == 0 and empty.columns == ["doc_id", "text", "ids"]
 
