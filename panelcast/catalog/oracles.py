@@ -73,8 +73,7 @@ cte(
 cte(
     "lines",
     "SELECT l_suppkey, l_partkey, l_linenumber, l_shipdate AS v, o_orderdate AS r, "
-    "CAST(l_quantity AS BIGINT) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
-    "WHERE o_orderdate <= l_shipdate",
+    "CAST(l_quantity AS BIGINT) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
 )
 cte(
     "bookings",
@@ -96,8 +95,9 @@ cte(
     "holidays",
     "SELECT date, CAST(CASE WHEN day(date) = 1 OR (month(date) = 12 AND day(date) >= 29) "
     "OR (month(date) = 5 AND day(date) BETWEEN 3 AND 5) THEN 1 ELSE 0 END AS INTEGER) "
-    "AS is_holiday FROM (SELECT CAST(unnest(generate_series(DATE '1995-01-01', "
-    "DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS date)",
+    "AS is_holiday FROM (SELECT CAST(unnest(generate_series((SELECT min(date) FROM visits), "
+    "(SELECT max(date) + 60 FROM visits), INTERVAL 1 DAY)) AS DATE) AS date)",
+    "visits",
 )
 
 
@@ -452,6 +452,13 @@ COLUMNS = {
     "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
     "events": "event_id ts user_id event_type value props",
     "labels": "doc_id quality toxic",
+    "region": "r_regionkey r_name",
+    "nation": "n_nationkey n_name n_regionkey",
+    "documents": "doc_id text lang source n_chars",
+    "embeddings": "vec_id embedding label",
+    "pages": "page_id url html",
+    "benchmark": "item_id text",
+    "conversations": "conv_id turn role text",
 }
 
 
@@ -512,9 +519,7 @@ ORACLES: dict[str, str] = {
         "bookings",
     ),
     "stores_scan": sql("SELECT * FROM stores", "stores"),
-    "holidays_scan": sql(
-        "SELECT * FROM holidays WHERE date IN (SELECT date FROM visits)", "holidays", "visits"
-    ),
+    "holidays_scan": sql("SELECT * FROM holidays", "holidays"),
     "densify": sql("SELECT * FROM dense", "dense"),
     "densify_to_cutoff": sql("SELECT * FROM dense_to", "dense_to"),
     "series_arrays": sql(
@@ -792,6 +797,28 @@ ORACLES: dict[str, str] = {
         f"WHERE value > 0 AND before < {SETTINGS.feature_select_threshold}",
         "importances",
     ),
+    "row_sample": sql(
+        "SELECT v.store_id, v.date, v.visitors, r.reserve_visitors FROM visits v JOIN res_daily r "
+        "ON r.store_id = v.store_id AND r.date = v.date WHERE r.reserve_visitors > 0 "
+        "ORDER BY md5(concat_ws('|', '0', CAST(v.store_id AS VARCHAR), CAST(v.date AS VARCHAR))), "
+        "v.store_id, v.date LIMIT 8000",
+        "visits",
+        "res_daily",
+    ),
+    "stump_fit_predict": sql(
+        "SELECT store_id, date, visitors, "
+        + r6("exp(avg(ln(1 + visitors)) OVER (PARTITION BY is_closed)) - 1", "y_pred")
+        + " FROM dense",
+        "dense",
+    ),
+    "stump_importance": "SELECT 'is_closed' AS feature, CAST(1.0 AS DOUBLE) AS value",
+    "stump_rollout": sql(
+        "SELECT s.store_id, CAST((SELECT max(date) FROM visits) + k AS DATE) AS date, "
+        + r6("(SELECT exp(avg(ln(1 + visitors))) - 1 FROM dense WHERE is_closed = 0)", "y_pred")
+        + f" FROM (SELECT DISTINCT store_id FROM visits) s, (SELECT CAST(i AS INTEGER) AS k FROM range(1, {HORIZON + 1}) t(i))",
+        "visits",
+        "dense",
+    ),
     "null_profile": " UNION ALL ".join(
         _null_rows(t, c) for t, names in COLUMNS.items() for c in names.split()
     ),

@@ -75,9 +75,8 @@ def stores_scan(spark, d):
 
 @query
 def holidays_scan(spark, d):
-    """The calendar days the observed panel spans, with their holiday flag."""
-    span = bindings.visits(spark, d).select(DATE).distinct()
-    return bindings.holidays(spark).join(span, DATE, "left_semi")
+    """The calendar: every day of the panel's span and the weeks after it."""
+    return bindings.holidays(spark, d)
 
 
 # --- panel shape ---------------------------------------------------------------------------
@@ -139,7 +138,7 @@ def calendar_features(spark, d):
 
 @query
 def holiday_features(spark, d):
-    df = add_holidays(bindings.visits(spark, d), bindings.holidays(spark))
+    df = add_holidays(bindings.visits(spark, d), bindings.holidays(spark, d))
     return df.select(
         *KEYS, "is_holiday", "day_before_holiday", "day_after_holiday", "golden_week"
     )
@@ -494,7 +493,7 @@ def signal_training_rows(spark, d):
     )
     rows = add_history(dense)
     sig = signals.training_signal(dense, origins, HORIZON, WeekdayProfile(), SETTINGS.max_context)
-    df = signals.signal_training_rows(rows, sig)
+    df = signals.signal_training_rows(rows, sig, origins, HORIZON)
     names = ["sig_point", "sig_q1", "sig_q5", "sig_q9"]
     return r6(df.select(*KEYS, "origin", TARGET, "lag_7", *names), *names)
 
@@ -541,7 +540,10 @@ def feature_select(spark, d):
 
 # --- exploratory profile -------------------------------------------------------------------
 
-PROFILED = ("orders", "customer", "lineitem", "supplier", "part", "events", "labels")
+PROFILED = (
+    *("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"),
+    *("documents", "embeddings", "pages", "benchmark", "labels", "conversations"),
+)
 
 
 @query
@@ -568,7 +570,7 @@ def duplicate_keys(spark, d):
 @query
 def cardinality(spark, d):
     stores = bindings.stores(spark, d)
-    relation = bindings.booking_sources(spark, d)[2]
+    relation = bindings.store_relation(spark, d)
     return profile.cardinality(
         {
             "visit_stores": (bindings.table(spark, d, "lineitem"), "l_suppkey"),
@@ -582,7 +584,7 @@ def cardinality(spark, d):
 
 @query
 def value_counts(spark, d):
-    stores, holidays = bindings.stores(spark, d), bindings.holidays(spark)
+    stores, holidays = bindings.stores(spark, d), bindings.holidays(spark, d)
     visits = bindings.visits(spark, d)
     by_day = visits.select(F.date_format(DATE, "EEEE").alias("day_name"))
     df = profile.value_counts(
@@ -618,7 +620,7 @@ def mean_by_dow(spark, d):
 
 @query
 def mean_by_holiday(spark, d):
-    df = profile.mean_by_holiday(bindings.visits(spark, d), bindings.holidays(spark))
+    df = profile.mean_by_holiday(bindings.visits(spark, d), bindings.holidays(spark, d))
     return r6(df, "mean_visitors")
 
 
@@ -669,7 +671,35 @@ def row_sample(spark, d):
     """A seeded random sample of at most 8,000 booked store days (a scatter plot's input)."""
     df = add_bookings(bindings.visits(spark, d), bindings.reservations(spark, d))
     booked = df.where(F.col("reserve_visitors") > 0).select(*KEYS, TARGET, "reserve_visitors")
-    return profile.sample_rows(booked, 8000)
+    return profile.sample_rows(booked, 8000, *KEYS)
+
+
+# --- trained models with an exact SQL form ---------------------------------------------------
+
+# One split on the closed flag: each leaf is the mean log target of its rows.
+STUMP = {"n_estimators": 1, "max_depth": 1, "learning_rate": 1.0, "subsample": 1.0, "colsample": 1.0}
+
+
+def _stump_frame(spark, d) -> DataFrame:
+    return panel.densify(bindings.visits(spark, d)).select(*KEYS, TARGET, "is_closed")
+
+
+@query
+def stump_fit_predict(spark, d):
+    return r6(_fit_predict(BoostedTrees(STUMP), _stump_frame(spark, d)), "y_pred")
+
+
+@query
+def stump_importance(spark, d):
+    return BoostedTrees(STUMP).fit(_stump_frame(spark, d)).feature_importance()
+
+
+@query
+def stump_rollout(spark, d):
+    data = backtest.prepare(bindings.load(spark, d))
+    model = BoostedTrees(STUMP).fit(_stump_frame(spark, d))
+    days = rollout.rollout(model, data, data.visits, panel.last_day(data.visits), HORIZON)
+    return r6(days.select(*KEYS, "y_pred"), "y_pred")
 
 
 # --- trained models (no SQL form) ----------------------------------------------------------

@@ -18,11 +18,13 @@ def is_daily(reservations: DataFrame) -> bool:
 def daily_bookings(reservations: DataFrame, as_of=None) -> DataFrame:
     """One row per (store, day): guests, bookings and, when known, mean lead time.
 
-    Input that is already daily passes through. All aggregates combine on the map side, so
+    Input that is already daily passes through, but not with ``as_of``. All aggregates combine on the map side, so
     a store holding a large share of the bookings arrives as one partial row per day and
     task. ``as_of`` keeps only bookings made up to that moment (needs ``reserve_ts``).
     """
     if is_daily(reservations):
+        if as_of is not None:
+            raise ValueError("as_of needs single bookings; these are already daily")
         return reservations
     rows = reservations
     if as_of is not None:
@@ -37,35 +39,35 @@ def daily_bookings(reservations: DataFrame, as_of=None) -> DataFrame:
     return rows.groupBy(STORE, F.to_date(day).alias(DATE)).agg(*aggregates)
 
 
-def daily_bookings_from(
-    direct: DataFrame,
-    mapped: DataFrame,
+def daily_bookings_mixed(
+    lines: DataFrame,
     relation: DataFrame,
     store: str = STORE,
     foreign: str = "hpg_store_id",
+    as_of=None,
 ) -> DataFrame:
-    """Daily bookings straight from the two raw sources.
+    """Daily bookings straight from raw lines (``id``, ``is_foreign``, two times, guests).
 
-    Each source is first reduced to one row per (its own id, day); only then are foreign ids
-    mapped and the two merged. An id with a huge share of the bookings therefore reaches
-    the mapping join as one row per day. Equal to ``daily_bookings`` of the row-level union.
+    Lines are first reduced to one row per (id, day); only then are foreign ids mapped and the
+    two kinds merged. An id with a huge share of the bookings therefore reaches the mapping join
+    as one row per day. Equal to ``daily_bookings`` of the row-level union. ``as_of`` keeps only
+    lines booked up to that moment.
     """
+    if as_of is not None:
+        lines = lines.where(F.col("reserve_datetime") <= as_of)
     lead = lead_time_days("visit_datetime", "reserve_datetime")
-
-    def per_day(df, key):
-        return df.groupBy(key, F.to_date("visit_datetime").alias(DATE)).agg(
-            F.sum("reserve_visitors").alias("_guests"),
-            F.count("*").alias("_n"),
-            F.sum(lead).alias("_lead"),
-            F.count(lead).alias("_lead_n"),
-        )
-
+    per_day = lines.groupBy("is_foreign", "id", F.to_date("visit_datetime").alias(DATE)).agg(
+        F.sum("reserve_visitors").alias("_guests"),
+        F.count("*").alias("_n"),
+        F.sum(lead).alias("_lead"),
+        F.count(lead).alias("_lead_n"),
+    )
     parts = [DATE, "_guests", "_n", "_lead", "_lead_n"]
-    ids = relation.select(F.col(store).alias(STORE), foreign)
-    own = per_day(direct, store).withColumnRenamed(store, STORE).select(STORE, *parts)
-    foreign_rows = per_day(mapped, foreign).join(ids, foreign, "inner").select(STORE, *parts)
+    ids = relation.select(F.col(store).alias(STORE), F.col(foreign).alias("id"))
+    own = per_day.where(~F.col("is_foreign")).select(F.col("id").alias(STORE), *parts)
+    mapped = per_day.where("is_foreign").join(ids, "id").select(STORE, *parts)
     return (
-        own.unionByName(foreign_rows)
+        own.unionByName(mapped)
         .groupBy(*KEYS)
         .agg(
             F.sum("_guests").cast("double").alias("reserve_visitors"),
@@ -75,6 +77,21 @@ def daily_bookings_from(
     )
 
 
+def daily_bookings_from(
+    direct: DataFrame,
+    mapped: DataFrame,
+    relation: DataFrame,
+    store: str = STORE,
+    foreign: str = "hpg_store_id",
+    as_of=None,
+) -> DataFrame:
+    """The same from two sources, one with its own and one with foreign ids."""
+    rest = ["visit_datetime", "reserve_datetime", "reserve_visitors"]
+    own = direct.select(F.col(store).alias("id"), F.lit(False).alias("is_foreign"), *rest)
+    other = mapped.select(F.col(foreign).alias("id"), F.lit(True).alias("is_foreign"), *rest)
+    return daily_bookings_mixed(own.unionByName(other), relation, store, foreign, as_of)
+
+
 def default_bookings(df: DataFrame) -> DataFrame:
     """Absent bookings count as zero; missing columns are added (lead time only if known)."""
     filled = {}

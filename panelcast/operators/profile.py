@@ -171,9 +171,11 @@ def reservation_lift(visits: DataFrame, daily: DataFrame) -> DataFrame:
     )
 
 
-def sample_rows(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """At most ``n`` random rows (a sampling operator; a plot's worth)."""
-    return df.orderBy(F.rand(seed)).limit(n)
+def sample_rows(df: DataFrame, n: int, *keys: str, seed: int = 0) -> DataFrame:
+    """At most ``n`` random rows (a sampling operator; a plot's worth): those whose keys have the
+    smallest digests under the seed, whatever the partitioning."""
+    named = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    return df.orderBy(F.md5(named.cast("binary")), *keys).limit(n)
 
 
 def first_stores(df: DataFrame, n: int = 2) -> DataFrame:

@@ -22,21 +22,24 @@ class Split:
     valid_end: date
 
 
-def window_ending(valid_end: date, horizon: int, fold: int = 0) -> Split:
-    start = valid_end - timedelta(days=horizon - 1)
-    return Split(fold, start - timedelta(days=1), start, valid_end)
+def rolling_origin_splits(
+    last: date, n_folds: int, horizon: int, stride: int | None = None
+) -> list[Split]:
+    """Expanding windows, earliest first; a missing or zero stride tiles by the horizon."""
+    offsets = range((n_folds - 1) * (stride or horizon), -1, -(stride or horizon))
 
+    def back(days: int) -> date:
+        return last - timedelta(days=days)
 
-def final_holdout(last: date, horizon: int) -> Split:
-    """The last ``horizon`` days, carved off before any cross-validation."""
-    return window_ending(last, horizon)
+    return [
+        Split(k, back(age + horizon), back(age + horizon - 1), back(age))
+        for k, age in enumerate(offsets)
+    ]
 
 
-def rolling_origin_splits(last: date, n_folds: int, horizon: int, stride: int | None = None):
-    """Expanding windows, earliest first; a missing or zero stride tiles by the horizon."""
-    step = stride or horizon
-    ends = [last - timedelta(days=i * step) for i in range(n_folds)]
-    return [window_ending(end, horizon, fold) for fold, end in enumerate(reversed(ends))]
+def final_holdout(last: date, horizon: int) -> Split:
+    """The last ``horizon`` days, carved off before any cross-validation."""
+    return rolling_origin_splits(last, 1, horizon)[0]
 
 
 def splits_frame(spark: SparkSession, splits: list[Split]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +52,7 @@ def retrain(data: PanelData, registry: list[ModelSpec], folder: str) -> Forecast
     sinks.append_runs(
         spark,
         f"{folder}/runs",
-        "retrain",
+        f"retrain-{uuid.uuid4().hex}",
         f"train-{record['model']}",
         {"model": record["model"], **{f"param_{k}": v for k, v in record["params"].items()}},
         {"retrained_on_rows": data.visits.count()},

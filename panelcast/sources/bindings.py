@@ -5,18 +5,15 @@ Suppliers play the stores, shipped quantity per day the demand, order lines the
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.operators.bookings import daily_bookings_from
+from panelcast.operators.bookings import daily_bookings_mixed
 from panelcast.schema import DATE, STORE, TARGET, PanelData
 from panelcast.sources.tables import reservations_from
 
-# The span of the derived calendar.
-CALENDAR_FIRST = date(1995, 1, 1)
-CALENDAR_LAST = date(2001, 12, 31)
+# Days of the derived calendar after the last visit, for forecasts.
+CALENDAR_AHEAD = 60
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,41 +46,43 @@ def nation_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def booking_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(direct bookings, bookings with a foreign id, foreign id -> store relation)."""
+def booking_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order line as a booking: odd lines name their store, even ones a foreign id. A line
+    may be shipped before its order's date, so a lead time may be negative."""
+    foreign = F.col("l_linenumber") % 2 == 0
     lines = table(spark, sf_dir, "lineitem").join(
         table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"),
         F.col("l_orderkey") == F.col("o_orderkey"),
-    ).where(F.col("o_orderdate") <= F.col("l_shipdate"))
-    common = [
+    )
+    return lines.select(
+        F.when(foreign, F.col("l_partkey")).otherwise(F.col("l_suppkey")).alias("id"),
+        foreign.alias("is_foreign"),
         F.col("l_shipdate").alias("visit_datetime"),
         F.col("o_orderdate").alias("reserve_datetime"),
         F.col("l_quantity").cast("bigint").alias("reserve_visitors"),
-    ]
-    direct = lines.where(F.col("l_linenumber") % 2 == 1).select(
-        F.col("l_suppkey").alias(STORE), *common
-    )
-    mapped = lines.where(F.col("l_linenumber") % 2 == 0).select(
-        F.col("l_partkey").alias("hpg_store_id"), *common
     )
+
+
+def store_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_stores = table(spark, sf_dir, "supplier").agg(F.count("*")).scalar()
-    relation = (
-        table(spark, sf_dir, "part")
-        .where(F.col("p_size") <= 25)
-        .select(
-            (F.col("p_partkey") % n_stores).alias(STORE),
-            F.col("p_partkey").alias("hpg_store_id"),
-        )
-    )
-    return direct, mapped, relation
+    parts = table(spark, sf_dir, "part").where(F.col("p_size") <= 25)
+    return parts.select((F.col("p_partkey") % n_stores).alias(STORE), F.col("p_partkey").alias("hpg_store_id"))
+
+
+def booking_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(direct bookings, bookings with a foreign id, foreign id -> store relation)."""
+    lines = booking_lines(spark, sf_dir)
+    direct = lines.where(~F.col("is_foreign")).withColumnRenamed("id", STORE).drop("is_foreign")
+    mapped = lines.where("is_foreign").withColumnRenamed("id", "hpg_store_id").drop("is_foreign")
+    return direct, mapped, store_relation(spark, sf_dir)
 
 
 def reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reservations_from(*booking_sources(spark, sf_dir))
 
 
-def reservations_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return daily_bookings_from(*booking_sources(spark, sf_dir))
+def reservations_daily(spark: SparkSession, sf_dir: str, as_of=None) -> DataFrame:
+    return daily_bookings_mixed(booking_lines(spark, sf_dir), store_relation(spark, sf_dir), as_of=as_of)
 
 
 def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,18 +101,20 @@ def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def holidays(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
-    n_days = (CALENDAR_LAST - CALENDAR_FIRST).days + 1
-    day = F.date_add(F.lit(CALENDAR_FIRST), F.col("id").cast("int"))
+def holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every day from the first visit to some weeks after the last, with its flag."""
+    day = F.to_date("l_shipdate")
+    span = table(spark, sf_dir, "lineitem").agg(F.min(day).alias("first"), F.max(day).alias("last"))
+    days = span.where("first IS NOT NULL").select(
+        F.explode(F.sequence("first", F.date_add("last", CALENDAR_AHEAD))).alias(DATE)
+    )
     month, dom = F.month(DATE), F.dayofmonth(DATE)
     flagged = (
         (dom == 1)
         | ((month == 12) & (dom >= 29))
         | ((month == 5) & dom.between(3, 5))
     )
-    return spark.range(n_days).select(day.alias(DATE)).select(
-        DATE, flagged.cast("int").alias("is_holiday")
-    )
+    return days.select(DATE, flagged.cast("int").alias("is_holiday"))
 
 
 def load(spark: SparkSession, sf_dir: str) -> PanelData:
@@ -122,5 +123,5 @@ def load(spark: SparkSession, sf_dir: str) -> PanelData:
         visits=visits(spark, sf_dir),
         reservations=reservations_daily(spark, sf_dir),
         stores=stores(spark, sf_dir),
-        holidays=holidays(spark),
+        holidays=holidays(spark, sf_dir),
     )
