@@ -48,7 +48,8 @@ def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with their number and whether they decode to the text."""
-    both = bpe.encode_and_decode(docs.select(COLUMNS), RANK_FILE, public_tokenizers.PATTERN)
+    kept = ["doc_id", "lang", "source", "text"]
+    both = bpe.encode_and_decode(docs, RANK_FILE, public_tokenizers.PATTERN, keep=kept)
     whole = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return both.select(
         "doc_id",

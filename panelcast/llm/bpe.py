@@ -13,16 +13,19 @@ from __future__ import annotations
 
 import base64
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters given to the encoder at once (a piece ends at the first safe place after them).
 PIECE = 1 << 16
+#: Rows encoded before their ids are handed on.
+ROWS = 128
 
 
 @functools.lru_cache(maxsize=2)
@@ -75,47 +78,67 @@ def _raw_bytes(enc: tiktoken.Encoding, lists: list[np.ndarray]) -> pa.Array:
     return pa.array([enc.decode_bytes(x.tolist()) for x in lists], pa.binary())
 
 
-def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """Add the ids of each text as ``array<int>``."""
+def _mapped(
+    df: DataFrame,
+    column: str,
+    kept: Sequence[str] | None,
+    fields: dict[str, str],
+    make: Callable[[pa.Array], list[pa.Array]],
+) -> DataFrame:
+    """``kept`` columns with new ones made from one, in slices of few rows: a task holds one
+    Arrow batch and one slice's ids, and needs one Python worker."""
+    names = [c for c in (df.columns if kept is None else kept) if c not in fields]
+    schema = T.StructType([df.schema[c] for c in names])
+    for name, kind in fields.items():
+        schema = schema.add(name, T.DataType.fromDDL(kind))
 
-    @F.arrow_udf("array<int>")
-    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        enc = encoding(rank_file, pattern)
-        for texts in batches:
-            yield _id_lists(enc, texts)[0]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                arrays = [part.column(c) for c in names] + make(part.column(column))
+                yield pa.RecordBatch.from_arrays(arrays, [*names, *fields])
 
-    return df.withColumn(out, ids(F.col(text)))
+    return df.select(*dict.fromkeys([*names, column])).mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def encode(
+    df: DataFrame, rank_file: str, pattern: str, text: str = "text", out: str = "ids", keep: Sequence[str] | None = None
+) -> DataFrame:
+    """Add the ids of each text as ``array<int>`` to the kept columns (default: all)."""
+    return _mapped(df, text, keep, {out: "array<int>"}, lambda t: [_id_lists(encoding(rank_file, pattern), t)[0]])
+
+
+def decode(
+    df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", out: str = "decoded", keep: Sequence[str] | None = None
+) -> DataFrame:
     """Add the raw bytes of each id list as ``binary``."""
 
-    @F.arrow_udf("binary")
-    def raw(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        enc = encoding(rank_file, pattern)
-        for lists in batches:  # a null list is an empty span
-            flat = lists.values.to_numpy(zero_copy_only=False)
-            ends = lists.offsets.to_numpy()
-            yield _raw_bytes(enc, [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
+    def raw(lists: pa.Array) -> list[pa.Array]:  # a null list is an empty span
+        flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        parts = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return [_raw_bytes(encoding(rank_file, pattern), parts)]
 
-    return df.withColumn(out, raw(F.col(ids)))
+    return _mapped(df, ids, keep, {out: "binary"}, raw)
 
 
 def encode_and_decode(
-    df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded"
+    df: DataFrame,
+    rank_file: str,
+    pattern: str,
+    text: str = "text",
+    ids: str = "ids",
+    decoded: str = "decoded",
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Add the ids and what they decode to, in one pass, so a task needs one Python worker."""
+    """Add the ids and what they decode to, in one pass."""
 
-    @F.arrow_udf("ids array<int>, raw binary")
-    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def both(texts: pa.Array) -> list[pa.Array]:
         enc = encoding(rank_file, pattern)
-        for texts in batches:
-            lists, done = _id_lists(enc, texts)
-            yield pa.StructArray.from_arrays([lists, _raw_bytes(enc, done)], ["ids", "raw"])
+        lists, done = _id_lists(enc, texts)
+        return [lists, _raw_bytes(enc, done)]
 
-    kept = [c for c in df.columns if c not in (ids, decoded)]
-    made = df.select(*kept, both(F.col(text)).alias("both"))
-    return made.select(*kept, F.col("both.ids").alias(ids), F.col("both.raw").alias(decoded))
+    return _mapped(df, text, keep, {ids: "array<int>", decoded: "binary"}, both)
 
 
 def ids_digest(ids: Column) -> Column:

@@ -15,7 +15,7 @@ RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and what they decode to, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = bpe.encode_and_decode(docs, RANK_FILE, public_tokenizers.PATTERN)
+    both = bpe.encode_and_decode(docs, RANK_FILE, public_tokenizers.PATTERN, keep=["doc_id"])
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
