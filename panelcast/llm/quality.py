@@ -43,6 +43,8 @@ FACTOR_HALF, FACTOR_MOST = 1.41, 1.06
 INNER, CUTOFF = 12.83, 41.0
 
 _BINS_PER_E = 32
+#: Parts that the rows of one group are spread over when a row per group is joined to them.
+SALTS = 32
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -159,6 +161,13 @@ def _distance() -> Column:
     return total
 
 
+def _joined(rows: DataFrame, few: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join one row per key to ``rows``. It is repeated for every ``salt``, so that without a
+    broadcast a key of a third of all rows still spreads over ``SALTS`` tasks."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return rows.join(few.withColumn("salt", salts), [key, "salt"], how)
+
+
 def _moments(rows: DataFrame) -> DataFrame:
     x = [F.col(f"v.{name}") for name in FLOORS]
     sums = [F.sum(x[i]).alias(f"s{i}") for i in range(DIM)]
@@ -168,14 +177,14 @@ def _moments(rows: DataFrame) -> DataFrame:
 
 def _nearest(rows: DataFrame, estimate: DataFrame, share: float) -> DataFrame:
     """The rows of each group whose distances are in the bins that hold the smallest ``share``."""
-    far = rows.join(estimate, "grp").withColumn("bin", F.floor(F.log(_distance() + 1e-12) * _BINS_PER_E))
+    far = _joined(rows, estimate, "grp").withColumn("bin", F.floor(F.log(_distance() + 1e-12) * _BINS_PER_E))
     counts = far.groupBy("grp", "bin").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("n").over(upto), F.lit(0))
     total = F.sum("n").over(Window.partitionBy("grp"))
     inside = counts.select("grp", "bin", (before < share * total).alias("inside")).where("inside")
     last = inside.groupBy("grp").agg(F.max("bin").alias("last"))
-    return far.drop("mean", "whiten").join(last, "grp").where(F.col("bin") <= F.col("last"))
+    return _joined(far.drop("mean", "whiten"), last, "grp").where(F.col("bin") <= F.col("last"))
 
 
 def _start(rows: DataFrame) -> DataFrame:
@@ -184,7 +193,7 @@ def _start(rows: DataFrame) -> DataFrame:
     middle = rows.groupBy("grp").agg(*[F.percentile_approx(f"v.{n}", 0.5).alias(n) for n in names])
     middle = middle.select("grp", F.array(*names).alias("mean"))
     apart = [F.abs(F.col(f"v.{n}") - F.col("mean")[i]) for i, n in enumerate(names)]
-    spread = rows.join(middle, "grp").groupBy("grp", "mean")
+    spread = _joined(rows, middle, "grp").groupBy("grp", "mean")
     spread = spread.agg(*[F.percentile_approx(a, 0.5).alias(n) for a, n in zip(apart, names, strict=True)])
     scale = {n: 1.0 / F.sqrt((1.4826 * F.col(n)) ** 2 + FLOORS[n] ** 2) for n in names}
     whiten = [scale[names[i]] if i == j else F.lit(0.0) for i in range(DIM) for j in range(i + 1)]
@@ -192,12 +201,12 @@ def _start(rows: DataFrame) -> DataFrame:
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """One row per group (``grp``) of vectors (``v``): mean and whitening matrix."""
+    """One row per group (``grp``) of vectors (``v``, ``salt``): mean and whitening matrix."""
     estimate = stage(_start(rows), "mcd")
     for step in range(STEPS):
         factor = FACTOR_HALF if step == STEPS - 1 else 1.0
         estimate = stage(_whitener(_moments(_nearest(rows, estimate, HALF)), factor), "mcd")
-    most = rows.join(estimate, "grp").where(_distance() <= INNER)
+    most = _joined(rows, estimate, "grp").where(_distance() <= INNER)
     return stage(_whitener(_moments(most), FACTOR_MOST), "mcd")
 
 
@@ -211,7 +220,7 @@ def _groups(rows: DataFrame, lang: str, source: str) -> DataFrame:
         F.when(small >= MIN_GROUP, F.col("lang_key")).otherwise("rest")
     )
     named = sizes.select("both_key", pooled.alias("grp"))
-    return keyed.join(named, "both_key", "left").drop("both_key", "lang_key")
+    return _joined(keyed, named, "both_key", "left").drop("both_key", "lang_key")
 
 
 def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: list[str] | None = None) -> DataFrame:
@@ -221,10 +230,11 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     kept = [c for c in (keep or df.columns) if c not in made]
     found = statistics(df.select(F.struct(*kept).alias("row"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text")))
     vector = F.struct(*[c.alias(n) for n, c in _vector().items()])
-    slim = found.select("row", "lang", "source", *STATISTICS, "base_failed", vector.alias("v"))
+    salt = (F.monotonically_increasing_id() % SALTS).cast("int")
+    slim = found.select("row", "lang", "source", *STATISTICS, "base_failed", vector.alias("v"), salt.alias("salt"))
     rows = stage(slim, "quality")
     grouped = _groups(rows, "lang", "source")
-    fitted = estimates(grouped.where(~F.col("base_failed")).select("grp", "v"))
-    judged = grouped.join(fitted, "grp", "left")
+    fitted = estimates(grouped.where(~F.col("base_failed")).select("grp", "v", "salt"))
+    judged = _joined(grouped, fitted, "grp", "left")
     near = F.coalesce(_distance() <= CUTOFF, F.lit(True))
     return judged.select("row.*", *STATISTICS, "base_failed", (~F.col("base_failed") & near).alias("kept"))
