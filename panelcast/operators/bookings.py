@@ -39,35 +39,29 @@ def daily_bookings(reservations: DataFrame, as_of=None) -> DataFrame:
     return rows.groupBy(STORE, F.to_date(day).alias(DATE)).agg(*aggregates)
 
 
-def daily_bookings_mixed(
-    lines: DataFrame,
-    relation: DataFrame,
-    store: str = STORE,
-    foreign: str = "hpg_store_id",
-    as_of=None,
-) -> DataFrame:
-    """Daily bookings straight from raw lines (``id``, ``is_foreign``, two times, guests).
+_PARTS = ("_guests", "_n", "_lead", "_lead_n")
 
-    Lines are first reduced to one row per (id, day); only then are foreign ids mapped and the
-    two kinds merged. An id with a huge share of the bookings therefore reaches the mapping join
-    as one row per day. Equal to ``daily_bookings`` of the row-level union. ``as_of`` keeps only
-    lines booked up to that moment.
-    """
+
+def _per_day(lines: DataFrame, ids: list[str], as_of=None) -> DataFrame:
+    """Partial sums per id and day of raw lines booked up to ``as_of``."""
     if as_of is not None:
         lines = lines.where(F.col("reserve_datetime") <= as_of)
     lead = lead_time_days("visit_datetime", "reserve_datetime")
-    per_day = lines.groupBy("is_foreign", "id", F.to_date("visit_datetime").alias(DATE)).agg(
+    return lines.groupBy(*ids, F.to_date("visit_datetime").alias(DATE)).agg(
         F.sum("reserve_visitors").alias("_guests"),
         F.count("*").alias("_n"),
         F.sum(lead).alias("_lead"),
         F.count(lead).alias("_lead_n"),
     )
-    parts = [DATE, "_guests", "_n", "_lead", "_lead_n"]
-    ids = relation.select(F.col(store).alias(STORE), F.col(foreign).alias("id"))
-    own = per_day.where(~F.col("is_foreign")).select(F.col("id").alias(STORE), *parts)
-    mapped = per_day.where("is_foreign").join(ids, "id").select(STORE, *parts)
+
+
+def _merged(own: DataFrame, foreign: DataFrame, relation: DataFrame, store: str, key: str) -> DataFrame:
+    """Daily bookings from partial sums per store (``id``) and per foreign id (``id``)."""
+    ids = relation.select(F.col(store).alias(STORE), F.col(key).alias("id"))
+    mapped = foreign.join(ids, "id").select(STORE, DATE, *_PARTS)
     return (
-        own.unionByName(mapped)
+        own.select(F.col("id").alias(STORE), DATE, *_PARTS)
+        .unionByName(mapped)
         .groupBy(*KEYS)
         .agg(
             F.sum("_guests").cast("double").alias("reserve_visitors"),
@@ -77,6 +71,24 @@ def daily_bookings_mixed(
     )
 
 
+def daily_bookings_mixed(
+    lines: DataFrame,
+    relation: DataFrame,
+    store: str = STORE,
+    foreign: str = "hpg_store_id",
+    as_of=None,
+) -> DataFrame:
+    """Daily bookings straight from raw lines (``id``, ``is_foreign``, two times, guests).
+
+    Lines are first reduced to one row per (id, day); only then are foreign ids mapped and the
+    two kinds merged. An id with a huge share of the bookings therefore reaches the mapping join
+    as one row per day. Equal to ``daily_bookings`` of the row-level union. ``as_of`` keeps only
+    lines booked up to that moment.
+    """
+    per_day = _per_day(lines, ["is_foreign", "id"], as_of)
+    return _merged(per_day.where(~F.col("is_foreign")), per_day.where("is_foreign"), relation, store, foreign)
+
+
 def daily_bookings_from(
     direct: DataFrame,
     mapped: DataFrame,
@@ -85,11 +97,10 @@ def daily_bookings_from(
     foreign: str = "hpg_store_id",
     as_of=None,
 ) -> DataFrame:
-    """The same from two sources, one with its own and one with foreign ids."""
-    rest = ["visit_datetime", "reserve_datetime", "reserve_visitors"]
-    own = direct.select(F.col(store).alias("id"), F.lit(False).alias("is_foreign"), *rest)
-    other = mapped.select(F.col(foreign).alias("id"), F.lit(True).alias("is_foreign"), *rest)
-    return daily_bookings_mixed(own.unionByName(other), relation, store, foreign, as_of)
+    """The same from two sources, one with its own and one with foreign ids, of any two types."""
+    own = _per_day(direct.withColumnRenamed(store, "id"), ["id"], as_of)
+    other = _per_day(mapped.withColumnRenamed(foreign, "id"), ["id"], as_of)
+    return _merged(own, other, relation, store, foreign)
 
 
 def default_bookings(df: DataFrame) -> DataFrame:
