@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from panelcast.llm.queries_dedup import op9_ngram_join
 from panelcast.llm.queries_fingerprints import op1_imatch
+from panelcast.llm.queries_lines import OP11_SQL, op11_lines
 from panelcast.llm.queries_mix import op7_mix
 from panelcast.llm.queries_pages import op3_urls, op5_html
 from panelcast.llm.queries_privacy import op4_pii, op6_secrets
@@ -21,8 +22,10 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_ngram_join": op9_ngram_join,
     "op10_quality": op10_quality,
+    "op11_lines": op11_lines,
 }
 
 ORACLES: dict[str, str] = {
     "op2_chat": OP2_SQL,
+    "op11_lines": OP11_SQL,
 }
