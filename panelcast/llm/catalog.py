@@ -9,6 +9,7 @@ from panelcast.llm.queries_mix import op7_mix
 from panelcast.llm.queries_pages import op3_urls, op5_html
 from panelcast.llm.queries_privacy import op4_pii, op6_secrets
 from panelcast.llm.queries_quality import op10_quality
+from panelcast.llm.queries_runs import op12_runs
 from panelcast.llm.queries_tokens import OP2_SQL, op2_chat, op8_bpe
 
 QUERIES = {
@@ -23,6 +24,7 @@ QUERIES = {
     "op9_ngram_join": op9_ngram_join,
     "op10_quality": op10_quality,
     "op11_lines": op11_lines,
+    "op12_runs": op12_runs,
 }
 
 ORACLES: dict[str, str] = {

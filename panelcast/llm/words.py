@@ -1,7 +1,7 @@
 """Vectorised word hashing over Arrow string columns, shared by the operators on words.
 
-A word is a maximal run of bytes outside ``[\\x20\\x09-\\x0D]``; A-Z are lower-cased. Each word
-becomes one 64-bit hash, computed for a whole block of documents at a time, so that a task's
+A word is a maximal run of bytes outside ``[\\x20\\x09-\\x0D]``; A-Z are lower-cased on demand. Each
+word becomes one 64-bit hash, computed for a whole block of documents at a time, so that a task's
 working memory is a few times ``BLOCK`` bytes whatever the batch or document size.
 """
 
@@ -28,14 +28,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _byte_table() -> np.ndarray:
+def _byte_table(fold: bool) -> np.ndarray:
     table = mix(np.arange(1, 257, dtype=_U) * _U(_BASE))
-    table[ord("A") : ord("Z") + 1] = table[ord("a") : ord("z") + 1]
+    if fold:
+        table[ord("A") : ord("Z") + 1] = table[ord("a") : ord("z") + 1]
     table[~_WORD] = 0
     return table
 
 
-_TABLE = _byte_table()
+_TABLES = {fold: _byte_table(fold) for fold in (False, True)}
 
 
 class _Powers:
@@ -58,7 +59,7 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def _hash_block(data: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_block(data: np.ndarray, doc_starts: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and start offsets of the words of one block."""
     inside = _WORD[data]
     first = inside.copy()
@@ -69,11 +70,11 @@ def _hash_block(data: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, n
     if not len(starts):
         return np.empty(0, _U), starts
     up, down = _POWERS.upto(len(data))
-    sums = np.add.reduceat(_TABLE[data] * up[: len(data)], starts)
+    sums = np.add.reduceat(_TABLES[fold][data] * up[: len(data)], starts)
     return mix(sums * down[starts]), starts
 
 
-def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
+def pieces(data: np.ndarray) -> Iterator[np.ndarray]:
     """One long text in pieces that end before white space, so that no word is cut."""
     at = 0
     while at < len(data):
@@ -87,9 +88,9 @@ def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
         at = end
 
 
-def word_blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def word_blocks(texts: pa.Array, fold: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Yield (first document, word hashes, bounds): document i of a block has the words
-    ``hashes[bounds[i]:bounds[i + 1]]``. A null text has no words."""
+    ``hashes[bounds[i]:bounds[i + 1]]``. A null text has no words; ``fold`` lower-cases A-Z."""
     texts = texts.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
@@ -99,11 +100,11 @@ def word_blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1)
         block = data[offsets[at] : offsets[to]]
         if to == at + 1 and len(block) > BLOCK:
-            parts = [_hash_block(p, np.zeros(1, np.int64))[0] for p in _pieces(block)]
+            parts = [_hash_block(p, np.zeros(1, np.int64), fold)[0] for p in pieces(block)]
             hashes = np.concatenate(parts)
             yield at, hashes, np.array([0, len(hashes)])
         else:
             local = offsets[at : to + 1] - offsets[at]
-            hashes, starts = _hash_block(block, local)
+            hashes, starts = _hash_block(block, local, fold)
             yield at, hashes, np.searchsorted(starts, local)
         at = to
