@@ -11,6 +11,7 @@ from panelcast.llm.queries_privacy import op4_pii, op6_secrets
 from panelcast.llm.queries_quality import op10_quality
 from panelcast.llm.queries_runs import op12_runs
 from panelcast.llm.queries_tokens import OP2_SQL, op2_chat, op8_bpe
+from panelcast.llm.queries_vectors import op13_whiten
 
 QUERIES = {
     "op1_imatch": op1_imatch,
@@ -25,6 +26,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_lines": op11_lines,
     "op12_runs": op12_runs,
+    "op13_whiten": op13_whiten,
 }
 
 ORACLES: dict[str, str] = {
