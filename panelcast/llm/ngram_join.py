@@ -1,13 +1,13 @@
 """N-gram Jaccard self-join by vertical partitioning, and its connected groups.
 
-A document is the set of 64-bit hashes of its distinct three-word shingles; the global n-gram
-order is the order of these hashes, cut at pivots into fragments. The work is exact:
+A document is the set of 64-bit hashes of its distinct shingles of ``Rule.words`` words; two link if
+their Jaccard similarity reaches ``Rule.num / Rule.den``. The global n-gram order is the order of these hashes, cut at pivots into fragments. The work is exact:
 
 1. *Classes.* Documents with equal sets are one class, represented by its smallest document id.
 2. *Fragment signatures.* Two sets that reach the threshold differ in few n-grams, so with more
    fragments than that at least one fragment is equal in both. Each class gets one signature per
-   fragment, for the fragment count of its size interval (and of the next, if its partners may
-   be there). Unlike single n-grams, whole fragments are not shared by documents that merely
+   fragment, for the fragment count of its size interval (and of those below, if its partners
+   may be there). Unlike single n-grams, whole fragments are not shared by documents that merely
    contain the same passage. Sets with too many empty fragments also give their prefix n-grams.
 3. *Candidates.* A signature of up to ``SMALL`` classes gives its pairs. The classes of larger
    ones are joined among themselves by prefix filtering with positions: their n-grams are ordered
@@ -17,8 +17,8 @@ order is the order of these hashes, cut at pivots into fragments. The work is ex
 4. *Partial overlaps.* Candidates are verified fragment by fragment: overlaps of segments are
    counted apart, and summed per pair.
 
-A set of up to eight n-grams can only equal its partner. Null and empty texts have no set and link
-with nothing. Texts of one or two words have one n-gram, the whole sequence. Rows that share a
+A set below ``Rule.least`` n-grams can only equal its partner. Null and empty texts have no set and
+link with nothing. Texts with fewer words than a shingle have one n-gram, the whole sequence. Rows that share a
 document id are one document; rows without one link with nothing and get no component. An empty
 table gives an empty result. Columns other than id and text are not read.
 """
@@ -26,7 +26,9 @@ table gives an empty result. Columns other than id and text are not read.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,6 @@ from panelcast.llm.components import components
 from panelcast.llm.words import mix, word_blocks
 from panelcast.session import stage
 
-#: The threshold is NUM / DEN.
-NUM, DEN = 9, 10
 #: Signatures with more classes than this go through the prefix join.
 SMALL = 32
 #: Ratio of the bounds of a size interval.
@@ -46,14 +46,39 @@ INTERVAL = 1.3
 #: Fragments for verification: the top bits of the hash.
 FRAGMENT_BITS = 3
 
+#: Parts that the rows of one class are dealt over when its component is joined to them; at most 64.
+BUCKETS = 64
+
 _U = np.uint64
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], _U)
 
 
+@dataclass(frozen=True)
+class Rule:
+    """Shingles of ``words`` words, linked from a similarity of ``num / den``."""
+
+    words: int = 3
+    num: int = 9
+    den: int = 10
+
+    @property
+    def least(self) -> int:
+        """The n-grams that a set needs to link with a different one."""
+        return -(-self.num // (self.den - self.num))
+
+    def apart(self, n: int) -> int:
+        """The n-grams in which two partners can differ, if the smaller has up to ``n``."""
+        return n * (self.den - self.num) // self.num
+
+    def prefix(self, n: int) -> int:
+        """Two partners share one of this many first n-grams."""
+        return n * (self.den - self.num) // self.den + 1
+
+
 @functools.cache
-def _intervals(upto: int) -> list[tuple[int, int]]:
+def _intervals(rule: Rule, upto: int) -> list[tuple[int, int]]:
     """Size intervals (first, last) that cover all sizes up to ``upto`` that may have partners."""
-    found, low = [], DEN - 1
+    found, low = [], rule.least
     while low <= upto:
         high = max(low, int(low * INTERVAL))
         found.append((low, high))
@@ -61,13 +86,18 @@ def _intervals(upto: int) -> list[tuple[int, int]]:
     return found
 
 
-def shingles(words: np.ndarray) -> np.ndarray:
+def shingles(words: np.ndarray, size: int = 3) -> np.ndarray:
     """The sorted distinct n-gram hashes of one document's word hashes."""
+    factors = np.concatenate([_K, mix(_K[0] * np.arange(1, max(1, size - 2), dtype=_U))])[:size]
     if not len(words):
         return words
-    if len(words) < 3:
-        return mix((words * _K[: len(words)]).sum(keepdims=True) + _U(len(words)))
-    return np.unique(mix(words[:-2] * _K[0] + words[1:-1] * _K[1] + words[2:] * _K[2] + _U(3)))
+    if len(words) < size:
+        return mix((words * factors[: len(words)]).sum(keepdims=True) + _U(len(words)))
+    n = len(words) - size + 1
+    sums = words[:n] * factors[0]
+    for k in range(1, size):
+        sums = sums + words[k : n + k] * factors[k]
+    return np.unique(mix(sums + _U(size)))
 
 
 def set_key(found: np.ndarray) -> bytes:
@@ -76,19 +106,19 @@ def set_key(found: np.ndarray) -> bytes:
     return b"".join(int(h).to_bytes(8, "big") for h in halves)
 
 
-def signatures(found: np.ndarray) -> np.ndarray:
-    """Hashes of the fragments of a sorted set, for its size interval and maybe the next."""
+def signatures(found: np.ndarray, rule: Rule = Rule()) -> np.ndarray:
+    """Hashes of the fragments of a sorted set, for its size interval and those that a smaller partner may be in."""
     n = len(found)
-    if n < DEN - 1:
+    if n < rule.least:
         return found[:0]
-    spans = _intervals(1 << (n * 2).bit_length())
+    spans = _intervals(rule, 1 << (n * 2).bit_length())
     own = next(i for i, (_, high) in enumerate(spans) if n <= high)
     out = []
-    for i in (own, own + 1):
-        if i > own and DEN * n < NUM * spans[i][0]:
-            continue
-        most = spans[i][1] // (DEN - 1)  # n-grams in which two partners can differ
-        spare = 1 + most // 50
+    for i in range(own, -1, -1):
+        if rule.num * n > rule.den * spans[i][1]:
+            break
+        low, most = spans[i][0], rule.apart(spans[i][1])
+        spare = 1 + int(most * (0.02 + 2 * math.exp(-low / (most + 1))))  # for fragments empty by chance
         count = most + 1 + spare
         fragment = ((found >> _U(32)) * _U(count)) >> _U(32)
         starts = np.flatnonzero(np.concatenate([[True], fragment[1:] != fragment[:-1]]))
@@ -96,15 +126,15 @@ def signatures(found: np.ndarray) -> np.ndarray:
         interval = np.array([i], _U)
         out.append(mix(sums + fragment[starts] * _K[0] + interval * _K[1]))
         if count - len(starts) > spare:
-            out.append(mix(found[: n // DEN + 1] + interval * _K[2]))
+            out.append(mix(found[: rule.prefix(n)] + interval * _K[2]))
     return np.concatenate(out)
 
 
-def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _profiles(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, words, bounds in word_blocks(batch.column("text")):
-            sets = [shingles(words[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            parts = [signatures(s) for s in sets]
+            sets = [shingles(words[a:b], rule.words) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            parts = [signatures(s, rule) for s in sets]
             ends = pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
             flat = pa.array(np.concatenate(parts).view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -118,7 +148,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _segments(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """One row per document and non-empty fragment."""
     pivots = (np.arange(1, 1 << FRAGMENT_BITS, dtype=_U) << _U(64 - FRAGMENT_BITS))
     for batch in batches:
@@ -127,7 +157,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows: list[tuple[int, int, int]] = []
             parts = []
             for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-                found = shingles(words[a:b])
+                found = shingles(words[a:b], rule.words)
                 for f, part in enumerate(np.split(found, np.searchsorted(found, pivots))):
                     if len(part):
                         rows.append((ids[at + i], len(found), f))
@@ -140,23 +170,23 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "fragment", "segment"])
 
 
-def _sizes_fit(a: Column, b: Column) -> Column:
-    return DEN * F.least(a, b) >= NUM * F.greatest(a, b)
+def _sizes_fit(rule: Rule, a: Column, b: Column) -> Column:
+    return rule.den * F.least(a, b) >= rule.num * F.greatest(a, b)
 
 
-def _reaches(overlap: Column, a: Column, b: Column) -> Column:
+def _reaches(rule: Rule, overlap: Column, a: Column, b: Column) -> Column:
     """Jaccard similarity at or above the threshold, from the overlap and both sizes."""
-    return (DEN + NUM) * overlap >= NUM * (a + b)
+    return (rule.den + rule.num) * overlap >= rule.num * (a + b)
 
 
-def _verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, segments: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, na, b, nb) that reach the threshold, by partial overlaps per fragment."""
     left = segments.select(F.col("doc_id").alias("a"), "fragment", F.col("segment").alias("left"))
     right = segments.select(F.col("doc_id").alias("b"), "fragment", F.col("segment").alias("right"))
     parts = pairs.join(left, "a").join(right, ["b", "fragment"])
     parts = parts.select("a", "na", "b", "nb", F.size(F.array_intersect("left", "right")).alias("part"))
     summed = parts.groupBy("a", "na", "b", "nb").agg(F.sum("part").alias("overlap"))
-    return summed.where(_reaches(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b")
+    return summed.where(_reaches(rule, F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b")
 
 
 def _ordered_pair(x: Column, y: Column) -> list[Column]:
@@ -164,27 +194,27 @@ def _ordered_pair(x: Column, y: Column) -> list[Column]:
     return [low["doc"].alias("a"), low["n"].alias("na"), high["doc"].alias("b"), high["n"].alias("nb")]
 
 
-def _small_pairs(groups: DataFrame) -> DataFrame:
+def _small_pairs(groups: DataFrame, rule: Rule) -> DataFrame:
     """All pairs of classes within signatures of at most ``SMALL`` classes."""
     small = groups.where(F.col("classes") <= SMALL)
     member = F.struct(F.col("doc"), F.col("n"))
     lists = small.groupBy("sig").agg(F.sort_array(F.collect_list(member)).alias("m")).select("m").distinct()
     later = F.transform("m", lambda x, i: F.transform(
-        F.filter(F.slice("m", i + 2, F.lit(SMALL)), lambda y: _sizes_fit(x["n"], y["n"]) & (x["doc"] != y["doc"])),
+        F.filter(F.slice("m", i + 2, F.lit(SMALL)), lambda y: _sizes_fit(rule, x["n"], y["n"]) & (x["doc"] != y["doc"])),
         lambda y: F.struct(x.alias("x"), y.alias("y")),
     ))
     pairs = lists.select(F.explode(F.flatten(later)).alias("p"))
     return pairs.select(*_ordered_pair(F.col("p.x"), F.col("p.y"))).distinct()
 
 
-def _postings(crowded: DataFrame, segments: DataFrame) -> DataFrame:
+def _postings(crowded: DataFrame, segments: DataFrame, rule: Rule) -> DataFrame:
     """Prefix n-grams of the crowded classes, rarest first: gram, (doc, n), position."""
     grams = segments.join(crowded, "doc_id", "left_semi").select("doc_id", "n", F.explode("segment").alias("gram"))
     shared = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     listed = grams.join(shared, "gram").groupBy("doc_id", "n")
     listed = listed.agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("shared"))
     alone = F.col("n") - F.size("shared")
-    prefix = F.floor(F.col("n") / DEN).cast("int") + 1
+    prefix = F.floor(F.col("n") * (rule.den - rule.num) / rule.den).cast("int") + 1
     rows = listed.where(alone < prefix).select(
         F.struct(F.col("doc_id").alias("doc"), "n").alias("member"),
         alone.alias("alone"),
@@ -193,20 +223,20 @@ def _postings(crowded: DataFrame, segments: DataFrame) -> DataFrame:
     return rows.select(F.col("s.gram").alias("gram"), "member", (F.col("alone") + F.col("i")).alias("pos"))
 
 
-def _possible(x: Column, px: Column, y: Column, py: Column) -> Column:
+def _possible(rule: Rule, x: Column, px: Column, y: Column, py: Column) -> Column:
     """Sizes fit, and what follows the first shared n-gram can still reach the threshold."""
     left = F.least(x["n"] - px, y["n"] - py)
-    return _sizes_fit(x["n"], y["n"]) & _reaches(left, x["n"], y["n"]) & (x["doc"] != y["doc"])
+    return _sizes_fit(rule, x["n"], y["n"]) & _reaches(rule, left, x["n"], y["n"]) & (x["doc"] != y["doc"])
 
 
-def _foremost_pairs(postings: DataFrame) -> DataFrame:
+def _foremost_pairs(postings: DataFrame, rule: Rule) -> DataFrame:
     first = postings.groupBy("gram").agg(F.min(F.struct("pos", "member")).alias("head"))
     met = postings.join(first, "gram")
-    fits = _possible(F.col("member"), F.col("pos"), F.col("head.member"), F.col("head.pos"))
+    fits = _possible(rule, F.col("member"), F.col("pos"), F.col("head.member"), F.col("head.pos"))
     return met.where(fits).select(*_ordered_pair(F.col("member"), F.col("head.member"))).distinct()
 
 
-def _pairs_across(postings: DataFrame, labels: DataFrame) -> DataFrame:
+def _pairs_across(postings: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
     """Pairs that share a prefix n-gram and are in different components so far."""
     node = labels.select(F.col("node").alias("node"), "component")
     marked = postings.join(node, F.col("member.doc") == F.col("node"), "left")
@@ -214,39 +244,42 @@ def _pairs_across(postings: DataFrame, labels: DataFrame) -> DataFrame:
     mixed = marked.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     marked = marked.join(mixed.where("low < high").select("gram"), "gram", "left_semi")
     other = marked.select("gram", *[F.col(c).alias(f"{c}2") for c in ("member", "pos", "component")])
-    fits = _possible(F.col("member"), F.col("pos"), F.col("member2"), F.col("pos2"))
+    fits = _possible(rule, F.col("member"), F.col("pos"), F.col("member2"), F.col("pos2"))
     met = marked.join(other, "gram").where(fits & (F.col("component") < F.col("component2")))
     return met.select(*_ordered_pair(F.col("member"), F.col("member2"))).distinct()
 
 
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    made = rows.mapInArrow(_profiles, "doc_id long, n long, key binary, sigs array<long>")
+    made = rows.mapInArrow(lambda it: _profiles(it, rule), "doc_id long, n long, key binary, sigs array<long>")
     profiles = stage(made, "ngram-profiles")
     classes = profiles.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sigs").alias("sigs"))
     signed = classes.where("doc IS NOT NULL").select("doc", "n", F.explode("sigs").alias("sig"))
     counted = signed.groupBy("sig").agg(F.count("*").alias("classes")).where("classes > 1")
     met = stage(signed.join(counted, "sig"), "ngram-signatures")
 
-    small = stage(_small_pairs(met), "ngram-pairs")
+    small = stage(_small_pairs(met, rule), "ngram-pairs")
     crowded = met.where(F.col("classes") > SMALL).select(F.col("doc").alias("doc_id")).distinct()
     needed = small.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(crowded).distinct()
     texts = rows.join(needed, "doc_id", "left_semi")
-    cut = texts.mapInArrow(_segments, "doc_id long, n long, fragment int, segment array<long>")
+    cut = texts.mapInArrow(lambda it: _segments(it, rule), "doc_id long, n long, fragment int, segment array<long>")
     segments = stage(cut.groupBy("doc_id", "n", "fragment").agg(F.max("segment").alias("segment")), "ngram-segments")
 
-    postings = stage(_postings(crowded, segments), "ngram-postings")
-    links = stage(_verified(small.unionByName(_foremost_pairs(postings)).distinct(), segments), "ngram-links")
-    across = _pairs_across(postings, components(links))
-    links = links.unionByName(stage(_verified(across, segments), "ngram-links"))
+    postings = stage(_postings(crowded, segments, rule), "ngram-postings")
+    links = stage(_verified(small.unionByName(_foremost_pairs(postings, rule)).distinct(), segments, rule), "ngram-links")
+    across = _pairs_across(postings, components(links), rule)
+    links = links.unionByName(stage(_verified(across, segments, rule), "ngram-links"))
     labels = components(links)
 
-    slim = profiles.drop("sigs")
-    heads = slim.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("head"))
+    # A class's component goes once to each part that its rows are dealt over, as a bit mask names them.
+    slim = profiles.select("doc_id", "n", "key", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+    used = F.bit_or(F.expr("shiftleft(1L, bucket)")).alias("used")
+    heads = slim.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("head"), used)
     named = heads.join(labels, F.col("head") == F.col("node"), "left")
-    named = named.select("key", F.coalesce("component", "head").alias("component_id"))
-    joined = slim.join(named, "key", "left")
+    part = F.explode(F.filter(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.getbit("used", b) == 1))
+    named = named.select("key", F.coalesce("component", "head").alias("component_id"), part.alias("bucket"))
+    joined = slim.join(named, ["key", "bucket"], "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), own)
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -32,6 +32,9 @@ from panelcast.session import stage
 #: Mean rows per chunk in the first round, and open rows per chunk in later ones.
 CHUNK_ROWS = 4096
 
+#: Sources whose plan (six numbers and a name each) is broadcast, and parts of a source beyond that.
+MOST_BROADCAST, SALTS = 10_000, 32
+
 _OPEN = -1
 
 
@@ -145,6 +148,17 @@ def _round(rows: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
     return placed.mapInArrow(lambda it: _settle(it, keys, seed), rows.schema)
 
 
+def _planned(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Give every row its source's plan. Few sources are broadcast; many are joined in parts, so that
+    a source with a large part of all rows is spread over tasks."""
+    same = F.col("src").eqNullSafe(F.col("name"))
+    if plan.count() <= MOST_BROADCAST:
+        return rows.join(F.broadcast(plan), same).drop("name")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part")
+    dealt = rows.withColumn("salt", F.pmod("row_order", F.lit(SALTS)).cast("int"))
+    return dealt.join(plan.select("*", parts), same & (F.col("salt") == F.col("part"))).drop("name", "salt", "part")
+
+
 def mix(
     df: DataFrame,
     source: str = "source",
@@ -180,7 +194,7 @@ def mix(
         (ratio - F.floor(ratio)).alias("chance"),
         F.ceil(F.col("n_rows") / CHUNK_ROWS).alias("chunks"),
     )
-    keyed = rows.join(plan, F.col("src").eqNullSafe(F.col("name"))).drop("name")
+    keyed = _planned(rows, stage(plan, "mix-plan"))
     keyed = keyed.withColumn("chunk", F.pmod(F.xxhash64("row_order", F.lit(seed)), F.col("chunks")))
     keyed = keyed.drop("chunks").withColumn("picked", F.lit(_OPEN))
     first = stage(_round(keyed, ["src", "chunk"], seed), "mix-rows")

@@ -8,20 +8,24 @@ from panelcast.llm import ngram_join, words
 from panelcast.llm.components import components
 
 
-def shingle_set(text):
+FIVE = ngram_join.Rule(words=5, num=8, den=10)
+
+
+def shingle_set(text, size=3):
     w = (text or "").encode().lower().split()
-    return frozenset(zip(w, w[1:], w[2:], strict=False)) if len(w) > 2 else frozenset([tuple(w)]) if w else frozenset()
+    many = zip(*(w[k:] for k in range(size)), strict=False)
+    return frozenset(many) if len(w) >= size else frozenset([tuple(w)]) if w else frozenset()
 
 
-def brute_force(rows):
-    sets = {i: shingle_set(t) for i, t in rows if i is not None}
+def brute_force(rows, size=3, share=90):
+    sets = {i: shingle_set(t, size) for i, t in rows if i is not None}
     low = {i: i for i in sets}
     changed = True
     links = [
         (a, b)
         for a in sets
         for b in sets
-        if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]) > 0
+        if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= share * len(sets[a] | sets[b]) > 0
     ]
     while changed:
         changed = False
@@ -67,17 +71,29 @@ def test_components_equal_brute_force(spark, monkeypatch, small):
     assert ngram_join.groups(df.limit(0)).count() == 0
 
 
-def test_partners_share_a_signature():
+@pytest.mark.parametrize("small", [32, 2])
+def test_five_words_equal_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(ngram_join, "SMALL", small)
+    rows = corpus(6)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.groups(df, rule=FIVE).collect()}
+    want = brute_force(rows, 5, 80)
+    assert got == want
+    assert len({c for _, c in want.values()}) < len({c for _, c in brute_force(rows, 5, 90).values()})
+
+
+@pytest.mark.parametrize("rule", [ngram_join.Rule(), FIVE, ngram_join.Rule(4, 1, 2)])
+def test_partners_share_a_signature(rule):
     draw = np.random.default_rng(1)
-    for n in (9, 10, 30, 100, 900):
-        for _ in range(40):
+    for n in (2, 4, 5, 7, 9, 10, 30, 100, 900):
+        for _ in range(60):
             base = np.unique(draw.integers(0, 2**64, n * 11 // 10, dtype=np.uint64))
-            drop = int(draw.integers(0, max(1, len(base) // 19) + 1))
+            drop = int(draw.integers(0, max(1, len(base) * (rule.den - rule.num) // (rule.den + rule.num)) + 1))
             a = np.sort(draw.choice(base, len(base) - drop, replace=False))
             b = np.sort(draw.choice(base, len(base) - drop, replace=False))
-            alike = 10 * len(np.intersect1d(a, b)) >= 9 * len(np.union1d(a, b))
+            alike = rule.den * len(np.intersect1d(a, b)) >= rule.num * len(np.union1d(a, b))
             if alike and not np.array_equal(a, b):  # equal sets are one class and need none
-                assert len(np.intersect1d(ngram_join.signatures(a), ngram_join.signatures(b)))
+                assert len(np.intersect1d(ngram_join.signatures(a, rule), ngram_join.signatures(b, rule)))
 
 
 def test_word_hashes_follow_the_words(monkeypatch):

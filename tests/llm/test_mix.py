@@ -21,9 +21,10 @@ def water_fill(sizes, weights=(3, 1, 2), share=1.5, most=2):
     return out
 
 
-@pytest.mark.parametrize("chunk", [4096, 7])
-def test_mix_meets_targets(spark, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "few"), [(4096, 100), (7, 100), (7, 2)])
+def test_mix_meets_targets(spark, monkeypatch, chunk, few):
     monkeypatch.setattr(source_mix, "CHUNK_ROWS", chunk)
+    monkeypatch.setattr(source_mix, "MOST_BROADCAST", few)
     names = ["a", "b", "c", "d", None, "É", "Z"]
     rows = [(i, " ".join(["w"] * (1 + i * 7 % 23)), names[i * i % 7] if i % 3 else "a", i) for i in range(400)]
     rows += [(400, None, "b", 1), (401, "", "b", 1), (402, " \n", None, 1), (5, rows[5][1], rows[5][2], 5)]
