@@ -16,6 +16,8 @@ from panelcast.llm import bpe, ngram_join, quality, secret_scan, source_mix
 from panelcast.session import stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near duplicates: shingles of five words, a similarity of 0.8 or more.
+NEAR = ngram_join.Rule(words=5, num=8, den=10)
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -25,10 +27,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; documents without an id all stay."""
-    found = ngram_join.groups(docs)
+    """The document with the smallest id of each group of alike ones; documents without an id all
+    stay. Of rows that share an id, the smallest by text, language, source and length stays."""
+    found = ngram_join.groups(docs, rule=NEAR)
     first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.select(COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    alike = docs.select(COLUMNS).join(first, "doc_id", "left_semi")
+    least = F.min(F.struct("text", "lang", "source", "n_chars"))
+    kept = alike.groupBy("doc_id").agg(least.alias("row")).select("doc_id", "row.*").select(COLUMNS)
     return kept.unionByName(docs.select(COLUMNS).where("doc_id IS NULL"))
 
 
