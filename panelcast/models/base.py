@@ -21,6 +21,8 @@ class Forecaster(ABC):
     name = "forecaster"
     recursive = True
     is_tree = False
+    #: Rates of the exponentially weighted means that a rollout carries on for the model.
+    smoothing: tuple[float, ...] = ()
 
     @abstractmethod
     def fit(self, train: DataFrame) -> Forecaster:
@@ -49,7 +51,8 @@ class Forecaster(ABC):
         return future.select(STORE, "step", F.struct(*known).alias("static"))
 
     def step(self, rows: DataFrame, static: Column, hist: Column) -> DataFrame:
-        """The frame plus ``y_pred`` for one day, from its static part and trailing values."""
+        """The frame plus ``y_pred`` for one day, from its static part and trailing values; the rows
+        also hold a column for each rate of ``smoothing``."""
         given = rows.columns
         wide = rows.select(
             "*",
@@ -59,6 +62,11 @@ class Forecaster(ABC):
         wide = wide.select("*", "_today.*").drop("_today")
         return self.predict(wide).select(*given, "y_pred")
 
+    def forecast_folds(self, visits: DataFrame, splits, horizon: int) -> DataFrame | None:
+        """All folds' forecasts (fold, store_id, date, y_pred) in one plan, for models that have such a
+        form; None for those that are fitted and rolled out fold by fold."""
+        return None
+
     def forecast_block(self, history: DataFrame, cutoff, horizon: int) -> DataFrame:
         """All future rows (store_id, date, y_pred) in one go."""
         raise NotImplementedError(f"{self.name} forecasts step by step")

@@ -28,6 +28,9 @@ class SeasonalNaive(Forecaster):
     def predict(self, features: DataFrame) -> DataFrame:
         return features.withColumn("y_pred", naive_value(features.columns, F.lit(self.global_mean)))
 
+    def forecast_folds(self, visits: DataFrame, splits: list[Split], horizon: int) -> DataFrame:
+        return naive_rollout(visits, splits, horizon)
+
     def save(self, path: str) -> None:
         from pyspark.sql import SparkSession
 

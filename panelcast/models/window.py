@@ -146,6 +146,9 @@ class BlockModel(Forecaster):
             STORE, DATE, clip_nonneg(value).alias("y_pred")
         )
 
+    def forecast_folds(self, visits: DataFrame, splits, horizon: int) -> DataFrame:
+        return block_rollout(visits, splits, horizon, self.forecaster, self.max_context)
+
     def predict(self, features: DataFrame) -> DataFrame:
         raise NotImplementedError("a block model forecasts from history; see forecast_block")
 

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.models.base import Forecaster
-from panelcast.models.naive import SeasonalNaive, naive_rollout
-from panelcast.models.window import BlockModel, block_rollout
+from panelcast.models.naive import naive_rollout
+from panelcast.models.window import block_rollout
 from panelcast.operators.bookings import daily_bookings, is_daily
 from panelcast.operators.entities import pick_weekday, store_metadata
 from panelcast.operators.splits import Split, fold_profiles, train_rows, valid_rows
@@ -128,12 +128,9 @@ class Backtest:
         params = spec.default if params is None else params
         probe = spec.factory(params)
         visits = self.data.visits
-        if isinstance(probe, SeasonalNaive):
-            return backtest_naive(visits, self.splits, self.horizon)
-        if isinstance(probe, BlockModel):
-            return backtest_block(
-                visits, self.splits, self.horizon, probe.forecaster, probe.max_context
-            )
+        whole = probe.forecast_folds(visits, self.splits, self.horizon)
+        if whole is not None:
+            return score_alignment(whole, visits, self.splits)
         self.features, self.profiles  # stage both before the threads start
 
         def one(split):

@@ -10,6 +10,7 @@ from panelcast.operators.calendar import HOLIDAY_FLAGS, add_calendar, add_holida
 from panelcast.operators.entities import METADATA, add_entities
 from panelcast.operators.history import add_history
 from panelcast.operators.panel import densify
+from panelcast.operators.smoothing import add_ewm
 from panelcast.schema import DATE, KEYS, LAGS, ROLL_WINDOWS, STORE, TARGET, PanelData
 
 CALENDAR = ("dow", "is_weekend", "month", "day_of_month", "doy_sin", "doy_cos")
@@ -46,29 +47,32 @@ def subset_features(df: DataFrame, names: list[str] | None) -> DataFrame:
     return df.select(*[c for c in df.columns if c in keep])
 
 
-def causal_features(data: PanelData, as_of=None, drop_closed_flag: bool = False) -> DataFrame:
+def causal_features(data: PanelData, as_of=None, drop_closed_flag: bool = False, ewm=()) -> DataFrame:
     """Every column that does not depend on a fold: grid, calendar, holidays, history, bookings.
 
     All windows run on the store placement of the grid, so the whole chain has one exchange
-    of the sparse inputs and none of the dense rows.
+    of the sparse inputs and none of the dense rows. ``ewm`` are rates of exponentially weighted
+    means to add.
     """
     daily = None if data.reservations is None else daily_bookings(data.reservations, as_of)
     df = densify(data.visits, daily)
     df = add_history(df)
+    if ewm:
+        df = add_ewm(df, ewm)
     df = add_holidays(add_calendar(df), data.holidays)
     df = default_bookings(df)
     return df.drop("is_closed") if drop_closed_flag else df
 
 
 def build_features(
-    data: PanelData, reference: DataFrame | None = None, as_of=None, drop_closed_flag: bool = False
+    data: PanelData, reference: DataFrame | None = None, as_of=None, drop_closed_flag: bool = False, ewm=()
 ) -> DataFrame:
     """The full feature matrix.
 
     Store levels average the rows of ``reference`` (a training panel: open days only).
     Without one they average the dense grid itself, zeros included.
     """
-    df = causal_features(data, as_of, drop_closed_flag)
+    df = causal_features(data, as_of, drop_closed_flag, ewm)
     if reference is None:
         reference = densify(data.visits)
     return arrange(add_entities(df, reference.select(*KEYS, F.col(TARGET)), data.stores))
