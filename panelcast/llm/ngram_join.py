@@ -9,8 +9,9 @@ their Jaccard similarity reaches ``Rule.num / Rule.den``. The global n-gram orde
    fragment, for the fragment count of its size interval (and of those below, if its partners
    may be there). Unlike single n-grams, whole fragments are not shared by documents that merely
    contain the same passage. Sets with too many empty fragments also give their prefix n-grams.
-3. *Candidates.* A signature of up to ``SMALL`` classes gives its pairs. The classes of larger
-   ones are joined among themselves by prefix filtering with positions: their n-grams are ordered
+3. *Candidates.* One exchange brings equal signatures together. One of up to ``SMALL`` classes gives
+   its pairs. A task that already sees more classes with one sends a mark instead of them, so a hot
+   signature arrives as a few rows per task. The classes of such larger ones are joined among themselves by prefix filtering with positions: their n-grams are ordered
    by frequency, and only pairs whose remaining n-grams can reach the threshold survive. That
    join first pairs each n-gram's classes with the foremost one only, and then only classes that
    are not connected yet, so a group of alike texts does not give all its pairs.
@@ -43,6 +44,8 @@ from panelcast.session import stage
 SMALL = 32
 #: Ratio of the bounds of a size interval.
 INTERVAL = 1.3
+#: Signatures that a task gathers before it sends them on.
+GATHER = 1 << 21
 #: Fragments for verification: the top bits of the hash.
 FRAGMENT_BITS = 3
 
@@ -134,20 +137,117 @@ def _profiles(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Reco
     for batch in batches:
         for at, words, bounds in word_blocks(batch.column("text")):
             sets = [shingles(words[a:b], rule.words) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            parts = [signatures(s, rule) for s in sets]
-            ends = pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
-            flat = pa.array(np.concatenate(parts).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(at, len(sets)),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_key(s) for s in sets], pa.binary()),
-                    pa.ListArray.from_arrays(ends, flat),
                 ],
-                ["doc_id", "n", "key", "sigs"],
+                ["doc_id", "n", "key"],
             )
 
 
+_MEMBER, _CROWD = "sig long, cls long, n int", "cls long, n int, other long, other_n int"
+
+
+def _members(columns: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "cls", "n"])
+
+
+def _combined(sig: np.ndarray, cls: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Each (signature, class) of a block once. A signature of more than ``SMALL`` classes becomes a mark
+    (size 0); its classes are sent on as crowded (negative size), each once, under its own hash."""
+    order = np.lexsort((cls, sig))
+    sig, cls, n = sig[order], cls[order], n[order]
+    fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])])
+    sig, cls, n = sig[fresh], cls[fresh], n[fresh]
+    starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    sizes = np.diff(np.append(starts, len(sig)))
+    crowded = np.repeat(sizes > SMALL, sizes)
+    marks = sig[starts[sizes > SMALL]]
+    known, first = np.unique(cls[crowded], return_index=True)
+    own = mix(known.view(_U)).view(np.int64)
+    return _members(
+        [
+            np.concatenate([sig[~crowded], marks, own]),
+            np.concatenate([cls[~crowded], np.zeros(len(marks), np.int64), known]),
+            np.concatenate([n[~crowded], np.zeros(len(marks), np.int32), -n[crowded][first]]),
+        ]
+    )
+
+
+def _signed(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """Signatures of all documents with the class (the start of the set's key) and size."""
+    held: list[tuple[np.ndarray, int, int]] = []
+    size = 0
+
+    def emit() -> pa.RecordBatch:
+        lengths = [len(s) for s, _, _ in held]
+        cls = np.repeat(np.array([c for _, c, _ in held], np.int64), lengths)
+        return _combined(
+            np.concatenate([s for s, _, _ in held]).view(np.int64),
+            cls,
+            np.repeat(np.array([n for _, _, n in held], np.int32), lengths),
+        )
+
+    for batch in batches:
+        for _, words, bounds in word_blocks(batch.column("text")):
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                found = shingles(words[a:b], rule.words)
+                signs = signatures(found, rule)
+                if len(signs):
+                    held.append((signs, int.from_bytes(set_key(found)[:8], "big", signed=True), len(found)))
+                    size += len(signs)
+                if size >= GATHER:
+                    yield emit()
+                    held, size = [], 0
+    if size:
+        yield emit()
+
+
+def _met(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by signature: pairs of classes that share one, and crowded classes alone."""
+    left = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
+
+    def found(columns: list[np.ndarray]) -> pa.RecordBatch | None:
+        sig, cls, n = columns
+        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        ends = np.append(starts[1:], len(sig))
+        alone = n < 0
+        parts = [(cls[alone], -n[alone], None, None)]
+        for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+            members, first = np.unique(cls[a:b][n[a:b] > 0], return_index=True)
+            sizes = n[a:b][n[a:b] > 0][first]
+            if len(members) > SMALL or (n[a:b] == 0).any():
+                parts.append((members, sizes, None, None))
+            elif len(members) > 1:
+                i, j = np.triu_indices(len(members), 1)
+                fit = rule.den * np.minimum(sizes[i], sizes[j]) >= rule.num * np.maximum(sizes[i], sizes[j])
+                parts.append((members[i[fit]], sizes[i[fit]], members[j[fit]], sizes[j[fit]]))
+        lengths = [len(p[0]) for p in parts]
+        if not sum(lengths):
+            return None
+        arrays = [pa.array(np.concatenate([p[0] for p in parts])), pa.array(np.concatenate([p[1] for p in parts]), pa.int32())]
+        for k, kind in ((2, pa.int64()), (3, pa.int32())):
+            chunks = [pa.nulls(m, kind) if p[k] is None else pa.array(p[k], kind) for p, m in zip(parts, lengths, strict=True)]
+            arrays.append(pa.concat_arrays(chunks))
+        return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in _CROWD.split(", ")])
+
+    for batch in batches:
+        columns = [np.concatenate([h, c.to_numpy()]) for h, c in zip(left, batch.columns, strict=True)]
+        if not len(columns[0]):
+            continue
+        last = int(np.searchsorted(columns[0], columns[0][-1]))  # the last signature may go on
+        left = [c[last:] for c in columns]
+        out = found([c[:last] for c in columns]) if last else None
+        if out is not None:
+            yield out
+    if len(left[0]):
+        out = found(left)
+        if out is not None:
+            yield out
+
+
 def _segments(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """One row per document and non-empty fragment."""
     pivots = (np.arange(1, 1 << FRAGMENT_BITS, dtype=_U) << _U(64 - FRAGMENT_BITS))
@@ -194,19 +294,6 @@ def _ordered_pair(x: Column, y: Column) -> list[Column]:
     return [low["doc"].alias("a"), low["n"].alias("na"), high["doc"].alias("b"), high["n"].alias("nb")]
 
 
-def _small_pairs(groups: DataFrame, rule: Rule) -> DataFrame:
-    """All pairs of classes within signatures of at most ``SMALL`` classes."""
-    small = groups.where(F.col("classes") <= SMALL)
-    member = F.struct(F.col("doc"), F.col("n"))
-    lists = small.groupBy("sig").agg(F.sort_array(F.collect_list(member)).alias("m")).select("m").distinct()
-    later = F.transform("m", lambda x, i: F.transform(
-        F.filter(F.slice("m", i + 2, F.lit(SMALL)), lambda y: _sizes_fit(rule, x["n"], y["n"]) & (x["doc"] != y["doc"])),
-        lambda y: F.struct(x.alias("x"), y.alias("y")),
-    ))
-    pairs = lists.select(F.explode(F.flatten(later)).alias("p"))
-    return pairs.select(*_ordered_pair(F.col("p.x"), F.col("p.y"))).distinct()
-
-
 def _postings(crowded: DataFrame, segments: DataFrame, rule: Rule) -> DataFrame:
     """Prefix n-grams of the crowded classes, rarest first: gram, (doc, n), position."""
     grams = segments.join(crowded, "doc_id", "left_semi").select("doc_id", "n", F.explode("segment").alias("gram"))
@@ -252,15 +339,20 @@ def _pairs_across(postings: DataFrame, labels: DataFrame, rule: Rule) -> DataFra
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    made = rows.mapInArrow(lambda it: _profiles(it, rule), "doc_id long, n long, key binary, sigs array<long>")
+    made = rows.mapInArrow(lambda it: _profiles(it, rule), "doc_id long, n long, key binary")
     profiles = stage(made, "ngram-profiles")
-    classes = profiles.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sigs").alias("sigs"))
-    signed = classes.where("doc IS NOT NULL").select("doc", "n", F.explode("sigs").alias("sig"))
-    counted = signed.groupBy("sig").agg(F.count("*").alias("classes")).where("classes > 1")
-    met = stage(signed.join(counted, "sig"), "ngram-signatures")
-
-    small = stage(_small_pairs(met, rule), "ngram-pairs")
-    crowded = met.where(F.col("classes") > SMALL).select(F.col("doc").alias("doc_id")).distinct()
+    named_rows = rows.where("doc_id IS NOT NULL").select("text")
+    placed = named_rows.mapInArrow(lambda it: _signed(it, rule), _MEMBER).repartition("sig").sortWithinPartitions("sig")
+    met = stage(placed.mapInArrow(lambda it: _met(it, rule), _CROWD).distinct(), "ngram-met")
+
+    whole = profiles.where("n > 0 AND doc_id IS NOT NULL")
+    start = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")
+    heads = whole.groupBy(start.alias("cls")).agg(F.min("doc_id").alias("doc"))
+    there = heads.select(F.col("cls").alias("other"), F.col("doc").alias("other_doc"))
+    member = [F.struct(F.col(d).alias("doc"), F.col(n).cast("long").alias("n")) for d, n in (("doc", "n"), ("other_doc", "other_n"))]
+    pairs = met.where("other IS NOT NULL").join(heads, "cls").join(there, "other")
+    small = stage(pairs.select(*_ordered_pair(*member)).distinct(), "ngram-pairs")
+    crowded = met.where("other IS NULL").select("cls").distinct().join(heads, "cls").select(F.col("doc").alias("doc_id"))
     needed = small.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(crowded).distinct()
     texts = rows.join(needed, "doc_id", "left_semi")
     cut = texts.mapInArrow(lambda it: _segments(it, rule), "doc_id long, n long, fragment int, segment array<long>")
