@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from panelcast.catalog.more_queries import ALPHA
 from panelcast.catalog.oracles import HORIZON, ORACLES, cte, naive_body, r6, scored_body, sql
+from panelcast.catalog.queries import IMPORTANCE_FEATURES
 from panelcast.operators.drift import BINS_PER_E
 from panelcast.operators.smoothing import RATES, ewm_column
 
@@ -190,6 +191,8 @@ def _recursive(body: str, *needs: str) -> str:
     return sql(body, *needs).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+_NUMERIC = ["visitors", *IMPORTANCE_FEATURES]
+
 ORACLES.update(
     {
         "store_tree": sql("SELECT * FROM tree", "tree"),
@@ -226,6 +229,23 @@ ORACLES.update(
             f"SELECT store_id, date, {', '.join(r6(ewm_column(r), ewm_column(r)) for r in RATES)} FROM smoothed",
             "smoothed",
         ),
+        "backtest_bookings_as_of": sql(
+            "SELECT fold, store_id, visit_date AS date, CAST(sum(reserve_visitors) AS DOUBLE) AS reserve_visitors, "
+            f"count(*) AS reserve_count, {r6('avg(lead_time_days)', 'reserve_lead_time_mean')} FROM bookings "
+            "JOIN splits ON visit_date BETWEEN valid_start AND valid_end "
+            "AND CAST(reserve_ts AS DATE) <= train_end GROUP BY 1, 2, 3",
+            "bookings",
+            "splits",
+        ),
+        "corr_features": sql(
+            " UNION ALL ".join(
+                f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", CAST(regr_count({a}, {b}) AS BIGINT) AS n, "
+                f"round(CASE WHEN var_pop({a}) > 0 AND var_pop({b}) > 0 THEN corr({a}, {b}) END, 6) AS corr FROM leveled"
+                for i, a in enumerate(_NUMERIC)
+                for b in _NUMERIC[i + 1 :]
+            ),
+            "leveled",
+        ),
         "capped_visits": sql(
             "SELECT v.store_id, v.date, round(coalesce(least(greatest(visitors, lo), hi), visitors), 6) AS visitors, "
             "CAST(coalesce(least(greatest(visitors, lo), hi) <> visitors, FALSE) AS INTEGER) AS is_capped "

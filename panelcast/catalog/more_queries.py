@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelcast.catalog.queries import HORIZON, _cv, _holdout, query, r6
+from panelcast.catalog.queries import HORIZON, IMPORTANCE_FEATURES, _cv, _holdout, query, r6
 from panelcast.models.intermittent import demand_states, intermittent_rollout
 from panelcast.models.naive import naive_rollout
-from panelcast.operators import capping, drift, hierarchy, panel, smoothing, splits
+from panelcast.operators import bookings, capping, drift, hierarchy, panel, profile, smoothing, splits
 from panelcast.plans import backtest
+from panelcast.plans.features import build_features
 from panelcast.schema import DATE, KEYS, STORE, TARGET
 from panelcast.sources import bindings
 
@@ -83,6 +84,22 @@ def ewm_features(spark, d):
     return r6(df.select(*KEYS, *names), *names)
 
 
+@query
+def backtest_bookings_as_of(spark, d):
+    """The booking columns of every fold's window as they stood at its cutoff."""
+    _, folds = _cv(bindings.visits(spark, d))
+    known = bookings.known_bookings(bookings.booking_cube(bindings.reservations(spark, d)), folds)
+    return r6(known, "reserve_lead_time_mean")
+
+
+@query
+def corr_features(spark, d):
+    """Every pair of numeric columns of the feature matrix, the target included."""
+    data = bindings.load(spark, d)
+    frame = build_features(data, reference=data.visits)
+    return r6(profile.correlation_matrix(frame, [TARGET, *IMPORTANCE_FEATURES]), "corr")
+
+
 @query
 def capped_visits(spark, d):
     """All days, with targets limited to the quantiles of the days before the holdout."""

@@ -412,14 +412,23 @@ cte(
 )
 
 # Importances and correlations.
+cte(
+    "leveled",
+    "SELECT f.*, store_mean, store_median, store_dow_mean, store_dow_median FROM features f "
+    "LEFT JOIN store_stats s ON s.store_id = f.store_id "
+    "LEFT JOIN dow_stats d ON d.store_id = f.store_id AND d.dow = f.dow",
+    "features",
+    "store_stats",
+    "dow_stats",
+)
 cte(
     "importances",
     " UNION ALL ".join(
         f"SELECT '{c}' AS feature, round(coalesce(abs(corr({c}, visitors)), 0.0), 6) AS value "
-        "FROM features"
+        "FROM leveled"
         for c in IMPORTANCE_FEATURES
     ),
-    "features",
+    "leveled",
 )
 cte(
     "observed",
@@ -536,9 +545,10 @@ ORACLES: dict[str, str] = {
         "last_day",
     ),
     "demand_matrix": sql(
-        "SELECT date, "
+        "SELECT g.date, "
         + ", ".join(f"max(CASE WHEN store_id = {i} THEN visitors END) AS s{i}" for i in range(25))
-        + " FROM nation_dense GROUP BY date",
+        + " FROM (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date "
+        "FROM nation_dense) g LEFT JOIN nation_dense n ON n.date = g.date GROUP BY 1",
         "nation_dense",
     ),
     "coverage": sql(

@@ -17,15 +17,15 @@ from panelcast.models.trees import BoostedTrees
 from panelcast.models.window import WeekdayProfile, block_rollout
 from panelcast.operators import panel, profile, quantiles, ranking, report, splits
 from panelcast.operators.bookings import add_bookings, daily_bookings
-from panelcast.operators.calendar import add_calendar, add_holidays
+from panelcast.operators.calendar import HOLIDAY_FLAGS, add_calendar, add_holidays
 from panelcast.operators.entities import pick_weekday, store_metadata, store_profile
 from panelcast.operators.history import add_history, observed_history
 from panelcast.plans import backtest, deploy, rollout, selection, signals
 from panelcast.plans.features import (
     BOOKINGS,
     CALENDAR,
+    LEVELS,
     build_features,
-    causal_features,
     subset_features,
 )
 from panelcast.plans.windows import context_windows
@@ -512,17 +512,19 @@ def signal_store_misses(spark, d):
 
 # --- importances ---------------------------------------------------------------------------
 
+# Every numeric column of the feature matrix.
 IMPORTANCE_FEATURES = [
-    *["dow", "is_weekend", "month", "day_of_month", "is_closed", "is_holiday", "golden_week"],
+    *["is_closed", *CALENDAR, *HOLIDAY_FLAGS, "golden_week"],
     *[f"lag_{k}" for k in LAGS],
-    *[f"roll_mean_{w}" for w in ROLL_WINDOWS],
-    *["reserve_visitors", "reserve_count"],
+    *[f"roll_{s}_{w}" for w in ROLL_WINDOWS for s in ("mean", "median")],
+    *[*BOOKINGS, *LEVELS],
 ]
 
 
 def _importances(spark, d):
     """A model-free importance: absolute correlation of each feature with the target."""
-    frame = causal_features(bindings.load(spark, d))
+    data = bindings.load(spark, d)
+    frame = build_features(data, reference=data.visits)
     long = profile.correlation_with(frame, TARGET, IMPORTANCE_FEATURES)
     value = F.round(F.coalesce("abs_corr", F.lit(0.0)), 6)
     return long.select("feature", value.alias("value"))

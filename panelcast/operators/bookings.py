@@ -6,22 +6,76 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.scalar import lead_time_days
+from panelcast.operators.splits import Split, train_rows, valid_rows
 from panelcast.schema import DATE, KEYS, STORE
 
 LEAD_MEAN = "reserve_lead_time_mean"
 
 
+BOOKED = "booked"
+
+
 def is_daily(reservations: DataFrame) -> bool:
     return "reserve_count" in reservations.columns
 
 
+def is_cube(reservations: DataFrame) -> bool:
+    return BOOKED in reservations.columns
+
+
+def booking_cube(reservations: DataFrame) -> DataFrame:
+    """Bookings summed by store, visit day (``date``) and day of booking (``booked``).
+
+    What was known on any day is a filter and a sum of this table, so many cutoffs share one
+    reduction of the single bookings. A cube passes through.
+    """
+    if is_cube(reservations):
+        return reservations
+    if is_daily(reservations):
+        raise ValueError("a cube needs single bookings; these are already daily")
+    day = DATE if DATE in reservations.columns else "visit_date"
+    lead = F.col("lead_time_days") if "lead_time_days" in reservations.columns else F.lit(None).cast("double")
+    return reservations.groupBy(STORE, F.to_date(day).alias(DATE), F.to_date("reserve_ts").alias(BOOKED)).agg(
+        F.sum("reserve_visitors").cast("double").alias("_guests"),
+        F.count("*").alias("_n"),
+        F.sum(lead).alias("_lead"),
+        F.count(lead).alias("_lead_n"),
+    )
+
+
+def _known(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys, *KEYS).agg(
+        F.sum("_guests").alias("reserve_visitors"),
+        F.sum("_n").alias("reserve_count"),
+        (F.sum("_lead") / F.nullif(F.sum("_lead_n"), F.lit(0))).alias(LEAD_MEAN),
+    )
+
+
+def known_bookings(cube: DataFrame, splits: list[Split]) -> DataFrame:
+    """Daily bookings of each fold's validation days as they stood at the end of its cutoff day.
+
+    Cells are repeated only for the folds whose window holds their visit day, inside the task.
+    """
+    rows = valid_rows(cube, splits)
+    return _known(rows.where(F.col(BOOKED) <= F.col("train_end")), "fold")
+
+
+def known_at(cube: DataFrame, split: Split) -> DataFrame:
+    """Daily bookings of the fold's training days as they stood at the end of its cutoff day."""
+    return _known(train_rows(cube, split).where(F.col(BOOKED) <= F.lit(split.train_end)))
+
+
 def daily_bookings(reservations: DataFrame, as_of=None) -> DataFrame:
     """One row per (store, day): guests, bookings and, when known, mean lead time.
 
     Input that is already daily passes through, but not with ``as_of``. All aggregates combine on the map side, so
     a store holding a large share of the bookings arrives as one partial row per day and
-    task. ``as_of`` keeps only bookings made up to that moment (needs ``reserve_ts``).
+    task. ``as_of`` keeps only bookings made up to that moment (needs ``reserve_ts``); of a cube,
+    those made up to the end of that day.
     """
+    if is_cube(reservations):
+        kept = reservations if as_of is None else reservations.where(F.col(BOOKED) <= F.to_date(F.lit(as_of)))
+        return _known(kept)
     if is_daily(reservations):
         if as_of is not None:
             raise ValueError("as_of needs single bookings; these are already daily")

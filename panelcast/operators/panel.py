@@ -147,10 +147,13 @@ def future_scaffold(stores: DataFrame, cutoff, horizon: int) -> DataFrame:
 def demand_matrix(dense: DataFrame, stores: list) -> DataFrame:
     """Day x store table for the named stores; null outside a store's span.
 
-    A wide export only: every day between the first and last is present when at least one
-    named store covers it. Rollouts keep per-store arrays instead.
+    A wide export only, with every day from the panel's first to its last, covered by a named
+    store or not. Rollouts keep per-store arrays instead.
     """
-    return dense.groupBy(DATE).pivot(STORE, stores).agg(F.max(TARGET))
+    wide = dense.groupBy(DATE).pivot(STORE, stores).agg(F.max(TARGET))
+    span = dense.agg(F.min(DATE).alias("first"), F.max(DATE).alias("last")).where("first IS NOT NULL")
+    days = span.select(F.explode(F.sequence("first", "last")).alias(DATE))
+    return days.join(wide, DATE, "left")
 
 
 def coverage(visits: DataFrame) -> DataFrame:

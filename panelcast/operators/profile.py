@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions import scalar
@@ -153,6 +156,48 @@ def _correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return wide.select(F.inline(rows))
 
 
+def _gram(batches: Iterator[pa.RecordBatch], p: int) -> Iterator[pa.RecordBatch]:
+    """A task's sums over all pairs of columns, of the rows where both are known."""
+    total = np.zeros((6, p, p))
+    for batch in batches:
+        x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+        known = ~np.isnan(x)
+        x, m = np.where(known, x, 0.0), known.astype(float)
+        square = x * x
+        total += np.stack([m.T @ m, x.T @ m, m.T @ x, square.T @ m, m.T @ square, x.T @ x])
+    i, j = np.triu_indices(p, 1)
+    columns = [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *[pa.array(t[i, j]) for t in total]]
+    yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _GRAM.split(", ")])
+
+
+_GRAM = "i int, j int, n double, x double, y double, xx double, yy double, xy double"
+
+
+def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``left, right, n, corr`` of every pair of columns, from one pass over the rows.
+
+    Each task multiplies whole batches, so the cost is that of a matrix product however many columns
+    there are, and hands on one row per pair. A pair takes the rows where both sides are known;
+    without two different values on both it has no correlation.
+    """
+    rows = df.select(*[F.col(c).cast("double") for c in columns])
+    parts = rows.mapInArrow(lambda it: _gram(it, len(columns)), _GRAM)
+    sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    n, names = F.col("n"), F.array(*map(F.lit, columns))
+
+    def spread(square: str, total: str) -> Column:
+        value = n * F.col(square) - F.col(total) * F.col(total)
+        return F.when(value > 1e-12 * n * F.col(square), value)  # less is rounding
+
+    joint = n * F.col("xy") - F.col("x") * F.col("y")
+    return sums.select(
+        F.element_at(names, F.col("i") + 1).alias("left"),
+        F.element_at(names, F.col("j") + 1).alias("right"),
+        n.cast("long").alias("n"),
+        (joint / F.sqrt(spread("xx", "x")) / F.sqrt(spread("yy", "y"))).alias("corr"),
+    )
+
+
 def reservation_lift(visits: DataFrame, daily: DataFrame) -> DataFrame:
     """Share of store days with bookings, and the booking/target correlation on them."""
     joined = visits.join(daily.select(*KEYS, "reserve_visitors"), list(KEYS), "left").withColumn(

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from panelcast.models.base import Forecaster
 from panelcast.models.naive import naive_rollout
 from panelcast.models.window import block_rollout
-from panelcast.operators.bookings import daily_bookings, is_daily
+from panelcast.operators.bookings import add_bookings, booking_cube, daily_bookings, is_cube, is_daily, known_at
 from panelcast.operators.entities import pick_weekday, store_metadata
 from panelcast.operators.splits import Split, fold_profiles, train_rows, valid_rows
 from panelcast.plans.features import arrange, causal_features, subset_features
 from panelcast.plans.rollout import rollout
-from panelcast.schema import DATE, STORE, TARGET, PanelData
+from panelcast.schema import DATE, KEYS, STORE, TARGET, PanelData
 from panelcast.session import stage
 
 
@@ -58,9 +58,14 @@ def backtest_block(visits, splits, horizon, forecaster, max_context: int) -> Dat
     return score_alignment(preds, visits, splits)
 
 
-def prepare(data: PanelData) -> PanelData:
-    """Bookings reduced to days once; every later use passes them through."""
-    if data.reservations is None or is_daily(data.reservations):
+def prepare(data: PanelData, as_of: bool = False) -> PanelData:
+    """Bookings reduced once, to days or, if they are to be read at cutoffs, to days by booking day;
+    every later use passes them through."""
+    if data.reservations is None or is_cube(data.reservations):
+        return data
+    if as_of:
+        return replace(data, reservations=stage(booking_cube(data.reservations), "booking-cube"))
+    if is_daily(data.reservations):
         return data
     return replace(data, reservations=stage(daily_bookings(data.reservations), "bookings"))
 
@@ -69,11 +74,15 @@ class Backtest:
     """Scores models over folds that share one featurised frame.
 
     Grid, calendar, holiday, history and booking columns are causal, so they are computed
-    once for all folds. A fold only filters that frame and joins its own store levels.
+    once for all folds. A fold only filters that frame and joins its own store levels. With
+    ``bookings_as_of``, a fold also reads the booking columns as they stood at its cutoff.
     """
 
-    def __init__(self, data: PanelData, splits: list[Split], horizon: int, parallel: int = 2):
-        self.data = prepare(data)
+    def __init__(
+        self, data: PanelData, splits: list[Split], horizon: int, parallel: int = 2, bookings_as_of: bool = False
+    ):
+        self.bookings_as_of = bookings_as_of and data.reservations is not None
+        self.data = prepare(data, self.bookings_as_of)
         self.splits = splits
         self.horizon = horizon
         self.parallel = parallel
@@ -106,6 +115,9 @@ class Backtest:
         if self.data.stores is not None:
             levels = levels.join(store_metadata(self.data.stores), STORE, "left")
         rows = train_rows(self.features, split).join(levels, STORE)
+        if self.bookings_as_of:
+            known = known_at(self.data.reservations, split)
+            rows = add_bookings(rows.drop(*[c for c in known.columns if c not in KEYS]), known)
         return arrange(pick_weekday(rows.where(F.col(DATE) <= F.col("last_day")).drop("last_day")))
 
     def fold_predictions(
@@ -114,7 +126,10 @@ class Backtest:
         model = spec.factory(params)
         model.fit(subset_features(self.fold_features(split), selected if spec.is_tree else None))
         history = train_rows(self.data.visits, split)
-        preds = rollout(model, self.data, history, split.train_end, self.horizon)
+        data = self.data
+        if self.bookings_as_of:
+            data = replace(data, reservations=daily_bookings(data.reservations, split.train_end))
+        preds = rollout(model, data, history, split.train_end, self.horizon)
         return preds.withColumn("fold", F.lit(split.fold))
 
     def predictions(

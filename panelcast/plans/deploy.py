@@ -16,6 +16,7 @@ from panelcast.plans.rollout import rollout
 from panelcast.plans.selection import ModelSelection, SelectionResult, fit_on_all
 from panelcast.schema import DATE, STORE, PanelData, Settings
 from panelcast.sources import sinks
+from panelcast.sources.tables import check_contract
 
 
 def find_best_model(
@@ -68,7 +69,7 @@ def batch_predict(
     record = sinks.read_selection(spark, f"{folder}/selection")
     spec = {s.name: s for s in registry}[record["model"]]
     model = spec.factory(record["params"]).load(spark, f"{folder}/best_model")
-    cutoff = last_day(data.visits)
+    cutoff = last_day(check_contract(data).visits)
     forecasts = rollout(model, data, data.visits, cutoff, horizon or record["horizon"])
     sinks.write_forecasts(forecasts, f"{folder}/forecasts")
     return forecasts

@@ -53,6 +53,8 @@ class Settings:
     over_weight: float = 1.0
     max_context: int = 512
     train_origins: int = 60
+    #: Whether backtests see only the bookings known at each fold's cutoff.
+    bookings_as_of: bool = False
 
     @property
     def n_folds(self) -> int:
