@@ -123,7 +123,7 @@ def _repeats_last(count=None):
 def test_fused_trees_forecast_nothing_on_the_second_fit(spark, data, tmp_path):
     seen = spark.sparkContext.accumulator(0)
     frame = build_features(data, reference=data.visits)
-    params = {"n_estimators": 1, "max_depth": 2}
+    params = {"n_estimators": 1, "max_depth": 2, "subsample": 1.0, "colsample": 1.0}
 
     def model():
         return FusedTrees(params, PandasBlock(_repeats_last(seen)), 7, 28, 4, store_path=f"{tmp_path}/signals")
