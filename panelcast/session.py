@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -64,3 +65,10 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Delete the shuffle files of plans that nobody holds any more, such as those that fed a staged
+    table. Spark does so after the driver's next collection, which may be half an hour away."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
