@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.components import components
 from panelcast.llm.words import mix, word_blocks
-from panelcast.session import stage
+from panelcast.session import release_shuffles, stage
 
 #: Signatures with more classes than this go through the prefix join.
 SMALL = 32
@@ -344,6 +344,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Ru
     named_rows = rows.where("doc_id IS NOT NULL").select("text")
     placed = named_rows.mapInArrow(lambda it: _signed(it, rule), _MEMBER).repartition("sig").sortWithinPartitions("sig")
     met = stage(placed.mapInArrow(lambda it: _met(it, rule), _CROWD).distinct(), "ngram-met")
+    del made, placed
+    release_shuffles(docs.sparkSession)  # the signatures are the largest exchange by far
 
     whole = profiles.where("n > 0 AND doc_id IS NOT NULL")
     start = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")
@@ -357,6 +359,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Ru
     texts = rows.join(needed, "doc_id", "left_semi")
     cut = texts.mapInArrow(lambda it: _segments(it, rule), "doc_id long, n long, fragment int, segment array<long>")
     segments = stage(cut.groupBy("doc_id", "n", "fragment").agg(F.max("segment").alias("segment")), "ngram-segments")
+    del texts, cut
+    release_shuffles(docs.sparkSession)
 
     postings = stage(_postings(crowded, segments, rule), "ngram-postings")
     links = stage(_verified(small.unionByName(_foremost_pairs(postings, rule)).distinct(), segments, rule), "ngram-links")
