@@ -51,7 +51,8 @@ def test_statistics_equal_a_plain_count(spark):
 def test_whitening_equals_numpy(spark):
     x = np.random.default_rng(3).normal(size=(300, quality.DIM)) @ np.diag([1, 2, 0.1, 0, 3])
     v = F.struct(*[F.col("x")[i].alias(n) for i, n in enumerate(quality.FLOORS)])
-    rows = spark.createDataFrame([("g", r.tolist()) for r in x], "grp string, x array<double>").select("grp", v.alias("v"))
+    rows = spark.createDataFrame([("g", "l", r.tolist()) for r in x], "grp string, lang_key string, x array<double>")
+    rows = rows.select("grp", "lang_key", v.alias("v"))
     fitted = quality._whitener(quality._moments(rows), 1.3)
     got = sorted(r[0] for r in rows.join(fitted, "grp").select(quality._distance()).collect())
     cov = np.cov(x.T, bias=True) * 1.3 + np.diag(np.square(list(quality.FLOORS.values())))
@@ -75,3 +76,90 @@ def test_outliers_go_and_clean_documents_stay(spark):
     for r in found:
         assert r["kept"] == (r["doc_id"] < 1000 or r["doc_id"] in (2001, 2002)), r
     assert quality.judge(df.limit(0)).count() == 0
+
+
+def _plain_estimate(groups, languages):
+    """Minimum-covariance-determinant estimates by numpy, with the same bins and priors."""
+    floors = np.array(list(quality.FLOORS.values()))
+    names = list(groups)
+
+    def distances(x, estimate):
+        mean, cov = estimate
+        return np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+
+    def nearest(x, estimate):
+        bins = np.floor(np.log(distances(x, estimate) + 1e-12) * 32)
+        levels, counts = np.unique(bins, return_counts=True)
+        before = np.cumsum(counts) - counts
+        return x[bins <= levels[before < quality.HALF * len(x)].max()]
+
+    def shrunk(chosen, factor):
+        def sums(x):
+            return np.array([len(x)], float), x.sum(axis=0), x.T @ x
+
+        own = {g: sums(x) for g, x in chosen.items()}
+        every = [sum(parts) for parts in zip(*own.values(), strict=True)]
+        out = {}
+        for g in names:
+            lang = [sum(parts) for parts in zip(*(own[h] for h in names if languages[h] == languages[g]), strict=True)]
+            k = quality.PRIOR
+            prior = [(a + k * b / every[0]) / (lang[0] + k) for a, b in zip(lang, every, strict=True)]
+            n, s, q = (a + k * p for a, p in zip(own[g], prior, strict=True))
+            mean = s / n
+            out[g] = mean, (q / n - np.outer(mean, mean)) * factor + np.diag(floors**2)
+        return out
+
+    estimate = {}
+    for g, x in groups.items():
+        middle = np.median(x, axis=0)
+        spread = 1.4826 * np.median(np.abs(x - middle), axis=0)
+        estimate[g] = middle, np.diag(spread**2 + floors**2)
+    for _ in range(quality.MOST_STEPS):
+        chosen = {g: nearest(x, estimate[g]) for g, x in groups.items()}
+        last, estimate = estimate, shrunk(chosen, 1.0)
+        if all(np.allclose(last[g][0], estimate[g][0]) and np.allclose(last[g][1], estimate[g][1]) for g in names):
+            break
+    estimate = shrunk(chosen, quality.FACTOR_HALF)
+    inner = {g: x[distances(x, estimate[g]) <= quality.INNER] for g, x in groups.items()}
+    estimate = shrunk(inner, quality.FACTOR_MOST)
+    return {g: distances(x, estimate[g]) for g, x in groups.items()}
+
+
+def test_estimates_equal_a_plain_loop(spark):
+    draw = np.random.default_rng(9)
+    scale = np.array([0.9, 0.6, 0.0, 0.05, 0.02])
+    turn = np.linalg.qr(draw.normal(size=(5, 5)))[0] * 0.2 + np.eye(5)
+    groups = {
+        "a": draw.normal(size=(401, 5)) * scale,
+        "b": draw.normal(size=(301, 5)) * scale @ turn + 2,
+        "c": draw.normal(size=(7, 5)) * scale,
+        "d": draw.normal(size=(1, 5)) * scale + 9,
+    }
+    groups["a"][:30] += 6
+    languages = {"a": "x", "b": "y", "c": "x", "d": "y"}
+    want = _plain_estimate(groups, languages)
+    v = F.struct(*[F.col("x")[i].alias(n) for i, n in enumerate(quality.FLOORS)])
+    rows = [(g, languages[g], i, i % quality.SALTS, r.tolist()) for g, x in groups.items() for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "grp string, lang_key string, i int, salt int, x array<double>")
+    df = df.select("grp", "lang_key", "i", "salt", v.alias("v"))
+    got = quality._joined(df, quality.estimates(df.drop("i")), "grp").select("grp", "i", quality._distance().alias("d"))
+    for r in got.collect():
+        assert r["d"] == pytest.approx(want[r["grp"]][r["i"]], rel=1e-6, abs=1e-6)
+    # One vector, judged by two groups' own covariances.
+    assert (want["a"] > quality.CUTOFF)[:30].all() and not (want["a"] > quality.CUTOFF)[30:].any()
+
+
+def test_the_group_decides_about_a_vector(spark):
+    draw = np.random.default_rng(2)
+
+    def text(n, letters):
+        return " ".join("abcdefghijklmnop"[: int(draw.integers(*letters))] + str(i) for i in range(n))
+
+    even = [(i, text(100, (5, 6)), "en", "even") for i in range(200)]
+    mixed = [(1000 + i, text(100, (3 + i % 9, 4 + i % 9)), "en", "mixed") for i in range(200)]
+    odd = text(100, (10, 11))
+    rows = [*even, *mixed, (5000, odd, "en", "even"), (5001, odd, "en", "mixed")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(df, keep=["doc_id"]).collect()}
+    assert not kept.pop(5000) and kept.pop(5001)
+    assert all(kept.values())
