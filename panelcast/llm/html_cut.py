@@ -31,6 +31,9 @@ from pyspark.sql import functions as F
 
 #: Distinct pages in the training sample, in expectation.
 SAMPLE_PAGES = 1000
+#: The classifier's greatest say on a block, and that of the page's own mark of its article; text and
+#: neighbours together outvote the mark.
+REACH, MARK = 4.0, 2.5
 #: Smoothness between neighbours under one parent; halved by each tree step between parents.
 SMOOTH = 1.0
 
@@ -56,7 +59,8 @@ CLOSES_P = BLOCK_TAGS - {"br", "option", "optgroup", "caption", "button", "legen
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<({'|'.join(RAW_TAGS)})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>"  # with a quote that is never closed
     r"|<[!?][^>]*>"
     r"|</?[a-zA-Z][^<>]*\Z",
     re.S | re.I,
@@ -127,10 +131,11 @@ def blocks(page: str, all_of_them: bool = False) -> list[Block]:
     for m in _TAG.finditer(page):
         text(page[at : m.start()])
         at = m.end()
-        tag = (m[3] or "").lower()
+        closing, tag, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+        tag = (tag or "").lower()
         if not tag:
             continue
-        if m[2]:
+        if closing:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             if depth >= 0 and not (tag not in BLOCK_TAGS and any(s[0] in BLOCK_TAGS for s in stack[depth + 1 :])):
                 close(depth)
@@ -156,7 +161,7 @@ def blocks(page: str, all_of_them: bool = False) -> list[Block]:
             if depth >= 0 and stack[depth][0] in pairs:
                 close(depth)
         number += 1
-        never, names = _never(tag, m[4])
+        never, names = _never(tag, attributes)
         stack.append((tag, number, never, names))
         skipped += never
         links += tag == "a"
@@ -311,9 +316,9 @@ def main_text(page: str | None, weights: np.ndarray) -> str:
     if not found:
         return ""
     marked = [bool(b.inside & ARTICLE_TAGS) for b in found]
-    gain = np.clip(features(found) @ weights, -8, 8)
-    if any(marked):  # the page's own mark of its article is a cost like others, a strong one
-        gain = gain + np.where(marked, 12.0, -12.0)
+    gain = np.clip(features(found) @ weights, -REACH, REACH)
+    if any(marked):  # the page's own mark of its article is a cost like others
+        gain = gain + np.where(marked, MARK, -MARK)
     return " ".join(b.text for b, keep in zip(found, minimum_cut(gain.tolist(), _edges(found)), strict=True) if keep)
 
 
