@@ -26,10 +26,16 @@ URL_RULES = (
 )
 
 
+def labelled_urls(pages: DataFrame) -> DataFrame:
+    """``url``, ``bad`` and whether the URL is ``held_out``, by its hash."""
+    fixed = url_rules.fixed_rule(url_rules.host(F.col("url")), url_rules.path(F.col("url")), URL_RULES)
+    bad = F.coalesce(fixed["verdict"] == "block", F.lit(False))
+    return pages.where("url IS NOT NULL").select("url", bad.alias("bad"), (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("held_out"))
+
+
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict on every page's URL; pages take the labels of their own number."""
+    """The verdict on every page's URL. The labels of URLs are the fixed rules' own verdicts (bad if
+    one blocks): rules are mined from four fifths of the URLs and decide where no fixed one fits."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), "quality", "toxic")
-    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
-    rules = url_rules.mine(pages.join(labels, "page_id").select("url", bad.alias("bad")))
+    rules = url_rules.mine(labelled_urls(pages).where("NOT held_out"))
     return url_rules.judge(pages, rules, URL_RULES).select("page_id", "host", "path", "rule", "verdict")

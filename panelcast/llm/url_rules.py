@@ -12,7 +12,8 @@ a URL that fills a third of the rows is matched once; rules are bounded by their
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: from
 there up to ``?``, ``#`` or the end. A null URL, or one without ``://``, has neither, and no
 tokens, and is allowed. Without labelled rows, or with none that is bad, there are no rules.
-Repeated rows get equal verdicts. Input columns named ``host``, ``path`` or ``verdict`` are replaced.
+Repeated rows get equal verdicts. Input columns named ``host``, ``path``, ``rule`` or ``verdict`` are
+replaced; any other name may be in use.
 """
 
 from __future__ import annotations
@@ -104,9 +105,18 @@ def fixed_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) ->
 
 def judge(pages: DataFrame, rules: DataFrame, fixed: Sequence[tuple[str, str]] = (), url: str = "url") -> DataFrame:
     """Add ``host``, ``path``, ``rule`` and ``verdict``: the fixed rule's, else the mined rules'."""
-    hit = matches(pages, rules, url).select(F.col("url").alias("hit_url"))
-    named = pages.withColumns({"host": host(F.col(url)), "path": path(F.col(url))})
-    joined = named.join(hit, F.col(url) == F.col("hit_url"), "left")
-    own = fixed_rule(F.col("host"), F.col("path"), fixed)
-    mined = F.when(F.col("hit_url").isNotNull(), "block").otherwise("allow")
-    return joined.withColumns({"rule": own["rule"], "verdict": F.coalesce(own["verdict"], mined)}).drop("hit_url")
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    rows = pages.select(F.struct(*kept).alias("page"), F.col(url).alias("own_url"))
+    joined = rows.join(matches(pages, rules, url), F.col("own_url") == F.col("url"), "left")
+    named = joined.select("page", host(F.col("own_url")).alias("h"), path(F.col("own_url")).alias("p"), F.col("url").isNotNull().alias("hit"))
+    own = fixed_rule(F.col("h"), F.col("p"), fixed)
+    mined = F.when(F.col("hit"), "block").otherwise("allow")
+    judged = named.select("page", "h", "p", own["rule"].alias("r"), F.coalesce(own["verdict"], mined).alias("v"))
+    return judged.select("page.*", F.col("h").alias("host"), F.col("p").alias("path"), F.col("r").alias("rule"), F.col("v").alias("verdict"))
+
+
+def precision(labelled: DataFrame, rules: DataFrame, url: str = "url", bad: str = "bad") -> tuple[int, float | None]:
+    """The labelled rows that a rule fits, and the share of them that are bad."""
+    hit = labelled.select(F.col(url).alias("url"), F.col(bad).alias("bad")).join(matches(labelled, rules, url), "url")
+    row = hit.agg(F.count("*").alias("n"), F.avg(F.col("bad").cast("double")).alias("share")).first()
+    return row["n"], row["share"]

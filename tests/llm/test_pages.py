@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelcast.llm import html_cut, url_rules
-from panelcast.llm.queries_pages import URL_RULES
+from panelcast.llm.queries_pages import URL_RULES, labelled_urls
 
 WEIGHTS = np.array([0.5, -4.0, 0, 1, 1, 1, -1, -0.5, -4, -1, -1.5])
 
@@ -44,6 +45,57 @@ def test_main_text(page, text):
     assert html_cut.main_text(page, WEIGHTS) == text
 
 
+@pytest.fixture(scope="module")
+def trained(spark):
+    return html_cut.train(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+
+
+STORY = [f"This is sentence number {i} of a long story, with enough words to read like prose." for i in range(20)]
+
+
+def test_a_teaser_marked_as_article_does_not_hide_the_story(trained):
+    """The page's mark of its article is one cost among others."""
+    page = "<article><a href=x>Teaser</a> <a href=y>Read on</a></article><div>" + "".join(f"<p>{s}</p>" for s in STORY) + "</div>"
+    text = html_cut.main_text(page, trained)
+    assert all(s in text for s in STORY)
+
+
+def test_neighbours_decide_about_weak_blocks(trained, monkeypatch):
+    """A short line that its own features would drop stays between paragraphs of the story, and goes
+    between links; without smoothness edges both are judged alike."""
+    line = "<div>Part two</div>"
+    kept = "<div>" + f"<p>{STORY[0]}</p>" + line + f"<p>{STORY[1]}</p></div>"
+    links = "<div><div><a href=a>Home page</a></div>" + line + "<div><a href=b>All pages</a></div></div>"
+    calls = []
+    flow = html_cut._flow
+    monkeypatch.setattr(html_cut, "_flow", lambda *a: calls.append(1) or flow(*a))
+    assert "Part two" in html_cut.main_text(kept, WEIGHTS)
+    assert "Part two" not in html_cut.main_text(links, WEIGHTS)
+    monkeypatch.setattr(html_cut, "_edges", lambda found: [])
+    alone = ["Part two" in html_cut.main_text(p, WEIGHTS) for p in (kept, links)]
+    assert alone[0] == alone[1]
+
+
+def test_the_flow_settles_what_persistency_leaves():
+    calls = []
+    unary = [0.6, -0.5, 0.6, -0.5, 0.2]
+    edges = [(i, i + 1, 1.0) for i in range(4)]
+    labels = html_cut.minimum_cut(unary, edges)
+    best = min(itertools.product([False, True], repeat=5), key=lambda x: cost(x, unary, edges))
+    assert tuple(labels) == best and not calls
+
+
+@pytest.mark.parametrize("open_tag", ["<a " + " ".join(f'k{i}="v"' for i in range(4000)), "<a " + "\"'" * 4000, "<a title=\"x" * 3000])
+def test_a_truncated_tag_takes_no_time(open_tag):
+    start = time.perf_counter()
+    assert "kept text" in html_cut.main_text(f"<article><p>kept text here.</p></article>{open_tag}", WEIGHTS)
+    assert time.perf_counter() - start < 2
+
+
+def test_a_quote_that_never_closes():
+    assert html_cut.main_text("<article><p title=\"x>one</p><p>two.</p></article>", WEIGHTS) == "one two."
+
+
 def test_extract_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").withColumn("text", F.lit("old"))
     out = html_cut.extract(pages, html_cut.train(pages))
@@ -108,6 +160,21 @@ def test_mined_rules_equal_brute_force(spark):
     assert none.count() == 0 and url_rules.judge(pages.limit(0), none).count() == 0
 
 
+def test_rules_of_the_given_pages_hold_on_held_out_urls(spark):
+    rows = labelled_urls(spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url"))
+    rules = url_rules.mine(rows.where("NOT held_out"))
+    assert rules.count() >= 3
+    n, share = url_rules.precision(rows.where("held_out"), rules)
+    assert n >= 100 and share >= url_rules.MIN_CONFIDENCE
+
+
+def test_any_other_column_name_may_be_in_use(spark):
+    df = spark.createDataFrame([("x://b.net/en/1", "h", "r", 7, "t")], "url string, hit_url string, rule string, confidence int, tokens string")
+    rules = url_rules.mine(df.select("url", F.lit(None).cast("boolean").alias("bad")))
+    (row,) = url_rules.judge(df, rules, URL_RULES).collect()
+    assert (row["hit_url"], row["confidence"], row["tokens"], row["rule"], row["verdict"]) == ("h", 7, "t", None, "allow")
+
+
 def test_fixed_rules_and_parts(spark):
     cases = {
         "http://a.example.com/en/x?y#z": ("a.example.com", "/en/x", "example.com/en/", "block"),
