@@ -45,11 +45,11 @@ SMALL = 32
 #: Ratio of the bounds of a size interval.
 INTERVAL = 1.3
 #: Signatures that a task gathers before it sends them on.
-GATHER = 1 << 21
+GATHER = 1 << 19
 #: Fragments for verification: the top bits of the hash.
 FRAGMENT_BITS = 3
 
-#: Parts that the rows of one class are dealt over when its component is joined to them; at most 64.
+#: Parts that the rows of one key are dealt over when what is known of the key is joined; at most 64.
 BUCKETS = 64
 
 _U = np.uint64
@@ -283,12 +283,29 @@ def _verified(pairs: DataFrame, segments: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, na, b, nb) that reach the threshold, by partial overlaps per fragment."""
     left = segments.select(F.col("doc_id").alias("a"), "fragment", F.col("segment").alias("left"))
     right = segments.select(F.col("doc_id").alias("b"), "fragment", F.col("segment").alias("right"))
-    parts = pairs.join(left, "a").join(right, ["b", "fragment"])
+    # One kind of join at every size, so that what is measured on small tables holds on large ones.
+    parts = pairs.hint("merge").join(left, "a").hint("merge").join(right, ["b", "fragment"])
     parts = parts.select("a", "na", "b", "nb", F.size(F.array_intersect("left", "right")).alias("part"))
     summed = parts.groupBy("a", "na", "b", "nb").agg(F.sum("part").alias("overlap"))
     return summed.where(_reaches(rule, F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b")
 
 
+def _bucket(doc: Column) -> Column:
+    """The part of its key's rows that a document is dealt to."""
+    return F.pmod(F.xxhash64(doc), F.lit(BUCKETS)).cast("int")
+
+
+def _used_buckets() -> Column:
+    """A bit mask of the parts that a key's rows (column ``bucket``) are dealt to."""
+    return F.bit_or(F.expr("shiftleft(1L, bucket)")).alias("used")
+
+
+def _each_bucket() -> Column:
+    """The parts of a mask, one row each, so that what is known of a key goes once to each part."""
+    parts = F.sequence(F.lit(0), F.lit(BUCKETS - 1))
+    return F.explode(F.filter(parts, lambda b: F.getbit("used", b) == 1)).alias("bucket")
+
+
 def _ordered_pair(x: Column, y: Column) -> list[Column]:
     low, high = F.least(x, y), F.greatest(x, y)
     return [low["doc"].alias("a"), low["n"].alias("na"), high["doc"].alias("b"), high["n"].alias("nb")]
@@ -317,8 +334,9 @@ def _possible(rule: Rule, x: Column, px: Column, y: Column, py: Column) -> Colum
 
 
 def _foremost_pairs(postings: DataFrame, rule: Rule) -> DataFrame:
-    first = postings.groupBy("gram").agg(F.min(F.struct("pos", "member")).alias("head"))
-    met = postings.join(first, "gram")
+    dealt = postings.withColumn("bucket", _bucket(F.col("member.doc")))
+    first = dealt.groupBy("gram").agg(F.min(F.struct("pos", "member")).alias("head"), _used_buckets())
+    met = dealt.join(first.select("gram", "head", _each_bucket()), ["gram", "bucket"])
     fits = _possible(rule, F.col("member"), F.col("pos"), F.col("head.member"), F.col("head.pos"))
     return met.where(fits).select(*_ordered_pair(F.col("member"), F.col("head.member"))).distinct()
 
@@ -328,8 +346,9 @@ def _pairs_across(postings: DataFrame, labels: DataFrame, rule: Rule) -> DataFra
     node = labels.select(F.col("node").alias("node"), "component")
     marked = postings.join(node, F.col("member.doc") == F.col("node"), "left")
     marked = marked.select("gram", "member", "pos", F.coalesce("component", "member.doc").alias("component"))
-    mixed = marked.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    marked = marked.join(mixed.where("low < high").select("gram"), "gram", "left_semi")
+    marked = marked.withColumn("bucket", _bucket(F.col("member.doc")))
+    mixed = marked.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), _used_buckets())
+    marked = marked.join(mixed.where("low < high").select("gram", _each_bucket()), ["gram", "bucket"], "left_semi")
     other = marked.select("gram", *[F.col(c).alias(f"{c}2") for c in ("member", "pos", "component")])
     fits = _possible(rule, F.col("member"), F.col("pos"), F.col("member2"), F.col("pos2"))
     met = marked.join(other, "gram").where(fits & (F.col("component") < F.col("component2")))
@@ -356,7 +375,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Ru
     small = stage(pairs.select(*_ordered_pair(*member)).distinct(), "ngram-pairs")
     crowded = met.where("other IS NULL").select("cls").distinct().join(heads, "cls").select(F.col("doc").alias("doc_id"))
     needed = small.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(crowded).distinct()
-    texts = rows.join(needed, "doc_id", "left_semi")
+    texts = rows.join(needed.hint("merge"), "doc_id", "left_semi")
     cut = texts.mapInArrow(lambda it: _segments(it, rule), "doc_id long, n long, fragment int, segment array<long>")
     segments = stage(cut.groupBy("doc_id", "n", "fragment").agg(F.max("segment").alias("segment")), "ngram-segments")
     del texts, cut
@@ -368,13 +387,10 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Ru
     links = links.unionByName(stage(_verified(across, segments, rule), "ngram-links"))
     labels = components(links)
 
-    # A class's component goes once to each part that its rows are dealt over, as a bit mask names them.
-    slim = profiles.select("doc_id", "n", "key", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int").alias("bucket"))
-    used = F.bit_or(F.expr("shiftleft(1L, bucket)")).alias("used")
-    heads = slim.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("head"), used)
+    slim = profiles.select("doc_id", "n", "key", _bucket(F.col("doc_id")).alias("bucket"))
+    heads = slim.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("head"), _used_buckets())
     named = heads.join(labels, F.col("head") == F.col("node"), "left")
-    part = F.explode(F.filter(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.getbit("used", b) == 1))
-    named = named.select("key", F.coalesce("component", "head").alias("component_id"), part.alias("bucket"))
+    named = named.select("key", F.coalesce("component", "head").alias("component_id"), _each_bucket())
     joined = slim.join(named, ["key", "bucket"], "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), own)
