@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from panelcast.catalog.more_queries import ALPHA
+from panelcast.catalog.more_queries import ALPHA, CLUSTERS
 from panelcast.catalog.oracles import HORIZON, ORACLES, cte, naive_body, r6, scored_body, sql
 from panelcast.catalog.queries import IMPORTANCE_FEATURES
 from panelcast.operators.drift import BINS_PER_E
 from panelcast.operators.smoothing import RATES, ewm_column
+from panelcast.schema import ROLL_WINDOWS
 
 cte(
     "paths",
@@ -191,6 +192,83 @@ def _recursive(body: str, *needs: str) -> str:
     return sql(body, *needs).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+_spread = ", ".join(
+    f"round(CASE WHEN count(*) OVER (w ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) = {n} THEN "
+    f"{f} OVER (w ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) END, 6) AS roll_{s}_{n}"
+    for n in ROLL_WINDOWS
+    for s, f in (
+        ("std", "stddev_samp(visitors)"),
+        ("min", "min(visitors)"),
+        ("max", "max(visitors)"),
+        ("q90", "quantile_cont(visitors, 0.9)"),
+    )
+)
+
+
+def _place(key: str, lat: int, lon: int) -> str:
+    return f"({key} * {lat} % 18000) / 100.0 - 90.0 AS lat, ({key} * {lon} % 36000) / 100.0 - 180.0 AS lon"
+
+
+cte(
+    "places",
+    f"SELECT store_id, lat, lon FROM (SELECT s_suppkey AS store_id, {_place('s_suppkey', 7919, 104729)} FROM supplier) "
+    "WHERE store_id % 10 <> 3",
+)
+cte("stations", f"SELECT c_custkey AS station_id, {_place('c_custkey', 15731, 32452843)} FROM customer")
+cte(
+    "nearest",
+    "SELECT store_id, station_id, distance FROM (SELECT store_id, station_id, distance, row_number() OVER "
+    "(PARTITION BY store_id ORDER BY distance, station_id) AS i FROM (SELECT store_id, station_id, "
+    "sqrt(pow(p.lat - s.lat, 2) + pow(p.lon - s.lon, 2)) AS distance FROM places p, stations s)) WHERE i = 1",
+    "places",
+    "stations",
+)
+cte(
+    "last_reading",
+    "SELECT o_custkey AS station_id, CAST(o_orderdate AS DATE) AS read_on, "
+    "arg_max(o_totalprice, (o_orderdate, o_totalprice)) AS value FROM orders GROUP BY 1, 2",
+)
+cte(
+    "cluster0",
+    "SELECT CAST(row_number() OVER (ORDER BY md5(CAST(store_id AS VARCHAR))) - 1 AS INTEGER) AS i, lat, lon FROM places "
+    f"WHERE store_id IN (SELECT store_id FROM cv) QUALIFY i < {CLUSTERS}",
+    "places",
+    "cv",
+)
+
+
+def _assigned(centres: str, where: str) -> str:
+    return (
+        f"SELECT p.store_id, p.lat, p.lon, arg_min(c.i, pow(p.lat - c.lat, 2) + pow(p.lon - c.lon, 2)) AS i "
+        f"FROM places p, {centres} c {where} GROUP BY 1, 2, 3"
+    )
+
+
+for _step in range(1, 26):
+    cte(
+        f"cluster{_step}",
+        f"SELECT c.i, coalesce(m.lat, c.lat) AS lat, coalesce(m.lon, c.lon) AS lon FROM cluster{_step - 1} c LEFT JOIN "
+        f"(SELECT i, avg(lat) AS lat, avg(lon) AS lon FROM "
+        f"({_assigned(f'cluster{_step - 1}', 'WHERE p.store_id IN (SELECT store_id FROM cv)')}) GROUP BY 1) m ON m.i = c.i",
+        f"cluster{_step - 1}",
+        "places",
+        "cv",
+    )
+cte(
+    "fold_last",
+    "SELECT s.fold, s.train_end, store_id, max(date) AS last, avg(visitors) AS store_mean FROM cv v JOIN splits s "
+    "ON v.date <= s.train_end GROUP BY 1, 2, 3",
+    "cv",
+    "splits",
+)
+cte(
+    "fold_dow",
+    "SELECT s.fold, store_id, isodow(date) AS wd, median(visitors) AS store_dow_median FROM cv v JOIN splits s "
+    "ON v.date <= s.train_end GROUP BY 1, 2, 3",
+    "cv",
+    "splits",
+)
+
 _NUMERIC = ["visitors", *IMPORTANCE_FEATURES]
 
 ORACLES.update(
@@ -246,6 +324,50 @@ ORACLES.update(
             ),
             "leveled",
         ),
+        "rolling_spread": sql(
+            f"SELECT store_id, date, {_spread} FROM dense WINDOW w AS (PARTITION BY store_id ORDER BY date)", "dense"
+        ),
+        "nearest_stations": sql("SELECT store_id, station_id, round(distance, 6) AS distance FROM nearest", "nearest"),
+        "weather_features": sql(
+            "SELECT v.store_id, v.date, v.station_id, round(v.distance, 6) AS distance, round(r.value, 6) AS weather, "
+            "CAST(v.date - r.read_on AS INTEGER) AS weather_age FROM (SELECT v.store_id, v.date, station_id, distance "
+            "FROM visits v LEFT JOIN nearest n ON n.store_id = v.store_id) v ASOF LEFT JOIN last_reading r "
+            "ON r.station_id = v.station_id AND r.read_on <= v.date",
+            "visits",
+            "nearest",
+            "last_reading",
+        ),
+        "location_clusters": sql(
+            "SELECT s.s_suppkey AS store_id, a.i AS location_cluster, round(c.lat, 6) AS centre_lat, "
+            f"round(c.lon, 6) AS centre_lon FROM supplier s LEFT JOIN ({_assigned('cluster25', '')}) a "
+            "ON a.store_id = s.s_suppkey LEFT JOIN cluster25 c ON c.i = a.i",
+            "cluster25",
+        ),
+        "fold_features_all": sql(
+            "SELECT l.fold, is_closed, count(*) AS n, round(sum(f.visitors), 3) AS visitors, round(sum(lag_7), 3) AS lag_7, "
+            "round(sum(roll_mean_7), 3) AS roll_mean_7, round(sum(roll_median_28), 3) AS roll_median_28, "
+            "round(sum(store_mean), 3) AS store_mean, round(sum(store_dow_median), 3) AS store_dow_median, "
+            "round(sum(reserve_visitors), 3) AS reserve_visitors FROM features f JOIN fold_last l "
+            "ON l.store_id = f.store_id AND f.date <= l.last LEFT JOIN fold_dow d ON d.fold = l.fold "
+            "AND d.store_id = f.store_id AND d.wd = isodow(f.date) GROUP BY 1, 2",
+            "features",
+            "fold_last",
+            "fold_dow",
+        ),
+        "backtest_stump": sql(
+            "SELECT v.fold, v.store_id, v.date, v.y_true, v.horizon_offset, round(p.y, 6) AS y_pred FROM cv_valid v JOIN "
+            "(SELECT fold, exp(avg(ln(1 + visitors))) - 1 AS y FROM cv_train GROUP BY 1) p ON p.fold = v.fold "
+            "WHERE (v.fold, v.store_id) IN (SELECT fold, store_id FROM cv_train)",
+            "cv_valid",
+            "cv_train",
+        ),
+        "holdout_stump": sql(
+            "SELECT v.fold, v.store_id, v.date, v.y_true, v.horizon_offset, round(p.y, 6) AS y_pred FROM ho_valid v, "
+            "(SELECT exp(avg(ln(1 + visitors))) - 1 AS y FROM ho_train) p "
+            "WHERE v.store_id IN (SELECT store_id FROM ho_train)",
+            "ho_valid",
+            "ho_train",
+        ),
         "capped_visits": sql(
             "SELECT v.store_id, v.date, round(coalesce(least(greatest(visitors, lo), hi), visitors), 6) AS visitors, "
             "CAST(coalesce(least(greatest(visitors, lo), hi) <> visitors, FALSE) AS INTEGER) AS is_capped "

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from panelcast.catalog.queries import HORIZON, IMPORTANCE_FEATURES, _cv, _holdout, query, r6
+from panelcast.catalog.queries import HORIZON, IMPORTANCE_FEATURES, SETTINGS, STUMP, _cv, _holdout, query, r6, union_all
 from panelcast.models.intermittent import demand_states, intermittent_rollout
 from panelcast.models.naive import naive_rollout
-from panelcast.operators import bookings, capping, drift, hierarchy, panel, profile, smoothing, splits
-from panelcast.plans import backtest
+from panelcast.models.trees import BoostedTrees
+from panelcast.operators import bookings, capping, clusters, drift, hierarchy, panel, profile, smoothing, splits, weather
+from panelcast.operators.history import add_spread
+from panelcast.plans import backtest, selection
 from panelcast.plans.features import build_features
-from panelcast.schema import DATE, KEYS, STORE, TARGET
+from panelcast.schema import DATE, KEYS, ROLL_WINDOWS, STORE, TARGET
 from panelcast.sources import bindings
 
 ALPHA = 0.1
+CLUSTERS = 6
 
 
 def _levels(spark, d):
@@ -100,6 +105,67 @@ def corr_features(spark, d):
     return r6(profile.correlation_matrix(frame, [TARGET, *IMPORTANCE_FEATURES]), "corr")
 
 
+@query
+def rolling_spread(spark, d):
+    df = add_spread(panel.densify(bindings.visits(spark, d)))
+    names = [f"roll_{s}_{w}" for w in ROLL_WINDOWS for s in ("std", "min", "max", "q90")]
+    return r6(df.select(*KEYS, *names), *names)
+
+
+@query
+def nearest_stations(spark, d):
+    return r6(weather.nearest_stations(bindings.locations(spark, d), bindings.stations(spark, d)), "distance")
+
+
+@query
+def weather_features(spark, d):
+    """The last reading of each store's nearest station up to every observed day."""
+    inputs = [f(spark, d) for f in (bindings.locations, bindings.stations, bindings.readings)]
+    return r6(weather.add_weather(bindings.visits(spark, d).select(*KEYS), *inputs), "distance", "weather")
+
+
+@query
+def location_clusters(spark, d):
+    """Each store's cluster by centres of the stores seen before the holdout, and the centre."""
+    visits, stores = bindings.visits(spark, d), bindings.locations(spark, d)
+    seen = splits.train_rows(visits, _holdout(visits)).select(STORE).distinct()
+    model = clusters.LocationClusters(CLUSTERS).fit(stores.join(seen, STORE, "left_semi"))
+    centre = F.get(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in model.centres]), F.col("location_cluster"))
+    df = model.assign(stores).select(STORE, "location_cluster", centre["y"].alias("centre_lat"), centre["x"].alias("centre_lon"))
+    return r6(df, "centre_lat", "centre_lon")
+
+
+@query
+def fold_features_all(spark, d):
+    """Rows and column sums of every fold's training frame, by whether the day was closed."""
+    data = bindings.load(spark, d)
+    visits, folds = _cv(data.visits)
+    bt = backtest.Backtest(replace(data, visits=visits), folds, HORIZON)
+    names = [TARGET, "lag_7", "roll_mean_7", "roll_median_28", "store_mean", "store_dow_median", "reserve_visitors"]
+    frames = [
+        bt.fold_features(s).groupBy("is_closed").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in names]).select(F.lit(s.fold).alias("fold"), "*")
+        for s in folds
+    ]
+    return r6(union_all(frames), *names, digits=3)
+
+
+@query
+def backtest_stump(spark, d):
+    """A one-split tree, fitted anew in each of all folds and rolled out day by day."""
+    data = bindings.load(spark, d)
+    visits, folds = _cv(data.visits)
+    bt = backtest.Backtest(replace(data, visits=visits), folds, HORIZON, parallel=4)
+    spec = backtest.ModelSpec("stump", BoostedTrees, STUMP, is_tree=True)
+    return r6(bt.predictions(spec, selected=["is_closed"]), "y_pred")
+
+
+@query
+def holdout_stump(spark, d):
+    """The holdout report of a one-split tree: fitted before the last weeks, met with the actuals."""
+    spec = backtest.ModelSpec("stump", BoostedTrees, STUMP, is_tree=True)
+    return r6(selection.holdout_report(bindings.load(spark, d), spec, SETTINGS, selected=["is_closed"]), "y_pred")
+
+
 @query
 def capped_visits(spark, d):
     """All days, with targets limited to the quantiles of the days before the holdout."""

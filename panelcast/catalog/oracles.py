@@ -214,7 +214,6 @@ def splits_body(n: int) -> str:
 
 cte("splits", splits_body(N_FOLDS), "cv_last")
 cte("splits3", splits_body(3), "cv_last")
-cte("splits8", splits_body(8), "cv_last")
 cte(
     "cv_train",
     "SELECT s.fold, s.train_end, v.* FROM cv v JOIN splits s ON v.date <= s.train_end",
@@ -402,13 +401,11 @@ cte("full_naive", naive_body("full_train", HORIZON), "full_train")
 _sig_out = ", ".join(
     [r6("point", "sig_point"), r6("point", "sig_q0")] + [r6(f"q[{i}]", f"sig_q{i}") for i in range(1, 10)]
 )
-cte("train8", "SELECT s.fold, s.train_end, v.* FROM cv v JOIN splits8 s ON v.date <= s.train_end",
-    "cv", "splits8")
 cte(
-    "series8",
+    "series_asked",
     "SELECT fold, store_id, string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY date) "
-    f"AS ys FROM ({_grid('train8', 14)}) GROUP BY 1, 2",
-    "train8",
+    f"AS ys FROM ({_grid('cv_train', CONTEXT)}) GROUP BY 1, 2",
+    "cv_train",
 )
 
 # Importances and correlations.
@@ -790,9 +787,9 @@ ORACLES: dict[str, str] = {
         "origin_window",
     ),
     "signal_store_misses": sql(
-        "SELECT DISTINCT ys FROM series8 WHERE fold >= 4 AND ys NOT IN "
-        "(SELECT ys FROM series8 WHERE fold < 4)",
-        "series8",
+        f"SELECT DISTINCT ys FROM series_asked WHERE fold >= {N_FOLDS // 2} AND ys NOT IN "
+        f"(SELECT ys FROM series_asked WHERE fold < {N_FOLDS // 2})",
+        "series_asked",
     ),
     "importance_topk": sql(
         "SELECT feature, value, round(value / sum(value) OVER () * 100, 6) AS share_pct "

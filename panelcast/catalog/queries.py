@@ -500,13 +500,14 @@ def signal_training_rows(spark, d):
 
 @query
 def signal_store_misses(spark, d):
-    """Series of the later half of the origins that no earlier origin already asked for."""
-    visits, folds = _cv(bindings.visits(spark, d), 8)
-    context = 14
+    """Series of the later half of the folds that no earlier fold already asked for."""
+    visits, folds = _cv(bindings.visits(spark, d))
+    context = SETTINGS.max_context
     windows = context_windows(visits, [(s.fold, s.train_end) for s in folds], context)
     keyed = signals.with_keys(windows, HORIZON, context, "weekday-v1")
-    known = keyed.where(F.col("origin") < 4).select("series_key")
-    missing = signals.missing_signals(keyed.where(F.col("origin") >= 4), known)
+    half = len(folds) // 2
+    known = keyed.where(F.col("origin") < half).select("series_key")
+    missing = signals.missing_signals(keyed.where(F.col("origin") >= half), known)
     return missing.select(_joined(F.col("ys")).alias("ys"))
 
 
@@ -752,7 +753,7 @@ def backtest_gbt(spark, d):
 
 
 def _fused():
-    return FusedTrees(TREES, WeekdayProfile(), HORIZON, SETTINGS.max_context, 20)
+    return FusedTrees(TREES, WeekdayProfile(), HORIZON, SETTINGS.max_context, SETTINGS.train_origins)
 
 
 @query

@@ -71,6 +71,19 @@ def add_history(
     return ordered.select(*base, *lag_names, *rolled)
 
 
+def add_spread(dense: DataFrame, windows=ROLL_WINDOWS, target: str = TARGET, key: str = STORE) -> DataFrame:
+    """``roll_std_w``, ``roll_min_w``, ``roll_max_w`` and ``roll_q90_w`` of the days before, on a gap-free
+    grid: sample deviation, extremes and interpolated ninth decile; null until a window is full."""
+    by_day = Window.partitionBy(key).orderBy(DATE)
+    out = []
+    for w in windows:
+        trailing = by_day.rowsBetween(-w, -1)
+        full = F.lag(target, w).over(by_day).isNotNull()
+        parts = {"std": F.stddev_samp(target), "min": F.min(target), "max": F.max(target), "q90": F.percentile(target, 0.9)}
+        out += [F.when(full, part.over(trailing)).alias(f"roll_{name}_{w}") for name, part in parts.items()]
+    return dense.select("*", *out)
+
+
 def observed_history(
     visits: DataFrame, lags=(1, 7), window: int = 7, target: str = TARGET
 ) -> DataFrame:

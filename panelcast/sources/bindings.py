@@ -101,6 +101,33 @@ def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _place(key: str, lat: int, lon: int) -> list:
+    """A position that follows from a key, on a grid of hundredths of a degree."""
+    return [
+        (F.col(key) * lat % 18000 / 100.0 - 90.0).alias("lat"),
+        (F.col(key) * lon % 36000 / 100.0 - 180.0).alias("lon"),
+    ]
+
+
+def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores with a position; one in ten has none."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias(STORE), *_place("s_suppkey", 7919, 104729))
+    known = F.col(STORE) % 10 != 3
+    return rows.select(STORE, F.when(known, F.col("lat")).alias("lat"), F.when(known, F.col("lon")).alias("lon"))
+
+
+def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as weather stations."""
+    rows = table(spark, sf_dir, "customer")
+    return rows.select(F.col("c_custkey").alias("station_id"), *_place("c_custkey", 15731, 32452843))
+
+
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order totals as readings of the customer's station."""
+    rows = table(spark, sf_dir, "orders")
+    return rows.select(F.col("o_custkey").alias("station_id"), F.col("o_orderdate").alias("ts"), F.col("o_totalprice").alias("value"))
+
+
 def holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every day from the first visit to some weeks after the last, with its flag."""
     day = F.to_date("l_shipdate")

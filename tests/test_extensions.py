@@ -1,6 +1,6 @@
 """Hierarchies, intermittent demand, drift, exponentially weighted means and capping."""
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from panelcast.models.base import Forecaster
 from panelcast.models.intermittent import IntermittentDemand, demand_states
 from panelcast.models.trees import BoostedTrees
-from panelcast.operators import capping, drift, hierarchy, smoothing
+from panelcast.operators import capping, clusters, drift, hierarchy, smoothing, weather
+from panelcast.operators.history import add_spread
 from panelcast.operators.panel import densify, last_day
 from panelcast.operators.splits import Split
 from panelcast.plans import backtest, rollout, selection
@@ -203,3 +204,65 @@ def test_caps_are_each_stores_own(spark):
     assert got["a", DAY] == (5.0, 1) and got["a", DAY + timedelta(days=200)] == (95.0, 1)
     assert got["a", DAY + timedelta(days=50)] == (50.0, 0) and got["b", DAY] == (1000.0, 0)
     assert got["c", DAY] == (None, 0)
+
+
+def test_nearest_station_equals_brute_force(spark):
+    draw = np.random.default_rng(6)
+    near = draw.normal(0, 0.01, (300, 2))  # a crowd of stations in one place
+    spots = np.vstack([near, draw.uniform(-60, 60, (40, 2)), near[:5]])
+    stations = spark.createDataFrame([(i, float(y), float(x)) for i, (y, x) in enumerate(spots)] + [(999, None, 1.0)], "station_id long, lat double, lon double")
+    places = np.vstack([draw.normal(0, 0.02, (30, 2)), draw.uniform(-90, 90, (60, 2)), spots[300:303]])
+    df = spark.createDataFrame([(i, float(y), float(x)) for i, (y, x) in enumerate(places)] + [(500, None, None)], "store_id long, lat double, lon double")
+    got = {r[STORE]: (r["station_id"], r["distance"]) for r in weather.nearest_stations(df, stations).collect()}
+    assert len(got) == len(places)
+    for i, p in enumerate(places):
+        far = np.sqrt(((spots - p) ** 2).sum(axis=1))
+        assert got[i][0] == int(np.argmin(far)) and got[i][1] == pytest.approx(far.min())
+    assert weather.nearest_stations(df, stations.limit(0)).count() == 0
+    assert weather.nearest_stations(df.limit(0), stations).count() == 0
+
+
+def test_weather_is_the_last_reading_before(spark):
+    stations = spark.createDataFrame([(1, 0.0, 0.0), (2, 9.0, 9.0)], "station_id long, lat double, lon double")
+    places = spark.createDataFrame([("a", 1.0, 1.0), ("b", 8.0, 8.0), ("c", None, None)], "store_id string, lat double, lon double")
+    at = [datetime(2016, 1, 3, 8), datetime(2016, 1, 3, 20), datetime(2016, 1, 7)]
+    readings = spark.createDataFrame([(1, t, float(i)) for i, t in enumerate(at)] + [(1, at[2], None), (7, at[0], 5.0)], "station_id long, ts timestamp, value double")
+    panel = spark.createDataFrame([(s, DAY + timedelta(days=d), 1.0) for s in "abc" for d in (0, 2, 4, 9)], PANEL)
+    out = {(r[STORE], r[DATE].day): r for r in weather.add_weather(panel, places, stations, readings).collect()}
+    assert len(out) == 12
+    assert [(out["a", d]["weather"], out["a", d]["weather_age"]) for d in (1, 3, 5, 10)] == [(None, None), (1.0, 0), (1.0, 2), (2.0, 3)]
+    assert out["b", 10]["station_id"] == 2 and out["b", 10]["weather"] is None
+    assert out["c", 10]["station_id"] is None and out["c", 10][TARGET] == 1.0
+
+
+def test_location_clusters_are_fitted_per_fold_and_kept(spark, tmp_path):
+    draw = np.random.default_rng(7)
+    middles = np.array([(0, 0), (10, 10), (-10, 10)])
+    rows = [(f"s{i}", *map(float, middles[i % 3] + draw.normal(0, 0.3, 2))) for i in range(60)]
+    stores = spark.createDataFrame(rows + [("none", None, None)], "store_id string, lat double, lon double")
+    model = clusters.LocationClusters(3).fit(stores)
+    found = {r[STORE]: r["location_cluster"] for r in model.assign(stores).collect()}
+    assert found.pop("none") is None
+    far = lambda r, c: (r[1] - c[0]) ** 2 + (r[2] - c[1]) ** 2
+    assert all(found[r[0]] == min(range(3), key=lambda i: far(r, model.centres[i])) for r in rows)  # noqa: B023
+    model.save(spark, f"{tmp_path}/c")
+    assert clusters.LocationClusters().load(spark, f"{tmp_path}/c").centres == model.centres
+    early = spark.createDataFrame([(r[0], DAY + timedelta(days=0 if i % 3 == 0 else 50), 1.0) for i, r in enumerate(rows)], PANEL)
+    split = Split(0, DAY + timedelta(days=10), DAY, DAY)
+    per_fold = clusters.fold_clusters(stores, early, split, 2)
+    assert per_fold.count() == 61 and per_fold.where("location_cluster IS NULL").count() == 1
+    seen = clusters.LocationClusters(2).fit(stores.join(early.where(F.col(DATE) == F.lit(DAY)), STORE, "left_semi"))
+    assert all(abs(y) < 2 and abs(x) < 2 for y, x in seen.centres)
+    assert clusters.LocationClusters(3).fit(stores.limit(0)).assign(stores).where("location_cluster IS NOT NULL").count() == 0
+
+
+def test_rolling_spread(spark):
+    draw = np.random.default_rng(3)
+    values = draw.poisson(9, 40).astype(float)
+    rows = [("s", DAY + timedelta(days=i), float(v)) for i, v in enumerate(values)]
+    out = add_spread(densify(spark.createDataFrame(rows, PANEL)), (7,)).orderBy(DATE).collect()
+    assert out[6]["roll_std_7"] is None and out[7]["roll_std_7"] is not None
+    for i in range(7, 40):
+        w = values[i - 7 : i]
+        want = (w.std(ddof=1), w.min(), w.max(), np.quantile(w, 0.9))
+        assert [out[i][f"roll_{n}_7"] for n in ("std", "min", "max", "q90")] == pytest.approx(want)
