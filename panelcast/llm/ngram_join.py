@@ -10,7 +10,8 @@ their Jaccard similarity reaches ``Rule.num / Rule.den``. The global n-gram orde
    may be there). Unlike single n-grams, whole fragments are not shared by documents that merely
    contain the same passage. Sets with too many empty fragments also give their prefix n-grams.
 3. *Candidates.* One exchange brings equal signatures together. One of up to ``SMALL`` classes gives
-   its pairs. A task that already sees more classes with one sends a mark instead of them, so a hot
+   its pairs: those with its first class are verified first, then those still in different groups,
+   so a group of alike texts does not have all its pairs verified. A task that already sees more classes with one sends a mark instead of them, so a hot
    signature arrives as a few rows per task. The classes of such larger ones are joined among themselves by prefix filtering with positions: their n-grams are ordered
    by frequency, and only pairs whose remaining n-grams can reach the threshold survive. That
    join first pairs each n-gram's classes with the foremost one only, and then only classes that
@@ -147,7 +148,7 @@ def _profiles(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Reco
             )
 
 
-_MEMBER, _CROWD = "sig long, cls long, n int", "cls long, n int, other long, other_n int"
+_MEMBER, _CROWD = "sig long, cls long, n int", "cls long, n int, other long, other_n int, first boolean"
 
 
 def _members(columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -214,21 +215,21 @@ def _met(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBat
         starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         ends = np.append(starts[1:], len(sig))
         alone = n < 0
-        parts = [(cls[alone], -n[alone], None, None)]
+        parts = [(cls[alone], -n[alone], None, None, None)]
         for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
             members, first = np.unique(cls[a:b][n[a:b] > 0], return_index=True)
             sizes = n[a:b][n[a:b] > 0][first]
             if len(members) > SMALL or (n[a:b] == 0).any():
-                parts.append((members, sizes, None, None))
+                parts.append((members, sizes, None, None, None))
             elif len(members) > 1:
                 i, j = np.triu_indices(len(members), 1)
                 fit = rule.den * np.minimum(sizes[i], sizes[j]) >= rule.num * np.maximum(sizes[i], sizes[j])
-                parts.append((members[i[fit]], sizes[i[fit]], members[j[fit]], sizes[j[fit]]))
+                parts.append((members[i[fit]], sizes[i[fit]], members[j[fit]], sizes[j[fit]], i[fit] == 0))
         lengths = [len(p[0]) for p in parts]
         if not sum(lengths):
             return None
         arrays = [pa.array(np.concatenate([p[0] for p in parts])), pa.array(np.concatenate([p[1] for p in parts]), pa.int32())]
-        for k, kind in ((2, pa.int64()), (3, pa.int32())):
+        for k, kind in ((2, pa.int64()), (3, pa.int32()), (4, pa.bool_())):
             chunks = [pa.nulls(m, kind) if p[k] is None else pa.array(p[k], kind) for p, m in zip(parts, lengths, strict=True)]
             arrays.append(pa.concat_arrays(chunks))
         return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in _CROWD.split(", ")])
@@ -341,6 +342,14 @@ def _foremost_pairs(postings: DataFrame, rule: Rule) -> DataFrame:
     return met.where(fits).select(*_ordered_pair(F.col("member"), F.col("head.member"))).distinct()
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs that are in different components so far."""
+    for side in ("a", "b"):
+        known = labels.select(F.col("node").alias(side), F.col("component").alias(f"in_{side}"))
+        pairs = pairs.join(known, side, "left").withColumn(f"in_{side}", F.coalesce(f"in_{side}", side))
+    return pairs.where("in_a <> in_b").select("a", "na", "b", "nb")
+
+
 def _pairs_across(postings: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
     """Pairs that share a prefix n-gram and are in different components so far."""
     node = labels.select(F.col("node").alias("node"), "component")
@@ -372,7 +381,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Ru
     there = heads.select(F.col("cls").alias("other"), F.col("doc").alias("other_doc"))
     member = [F.struct(F.col(d).alias("doc"), F.col(n).cast("long").alias("n")) for d, n in (("doc", "n"), ("other_doc", "other_n"))]
     pairs = met.where("other IS NOT NULL").join(heads, "cls").join(there, "other")
-    small = stage(pairs.select(*_ordered_pair(*member)).distinct(), "ngram-pairs")
+    pairs = pairs.select(*_ordered_pair(*member), "first").groupBy("a", "na", "b", "nb").agg(F.max("first").alias("first"))
+    small = stage(pairs, "ngram-pairs")
     crowded = met.where("other IS NULL").select("cls").distinct().join(heads, "cls").select(F.col("doc").alias("doc_id"))
     needed = small.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(crowded).distinct()
     texts = rows.join(needed.hint("merge"), "doc_id", "left_semi")
@@ -382,9 +392,12 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Ru
     release_shuffles(docs.sparkSession)
 
     postings = stage(_postings(crowded, segments, rule), "ngram-postings")
-    links = stage(_verified(small.unionByName(_foremost_pairs(postings, rule)).distinct(), segments, rule), "ngram-links")
-    across = _pairs_across(postings, components(links), rule)
-    links = links.unionByName(stage(_verified(across, segments, rule), "ngram-links"))
+    foremost = small.where("first").drop("first").unionByName(_foremost_pairs(postings, rule)).distinct()
+    links = stage(_verified(foremost, segments, rule), "ngram-links")
+    labels = components(links)
+    across = _apart(small.where("NOT first").drop("first"), labels).unionByName(_pairs_across(postings, labels, rule))
+    links = links.unionByName(stage(_verified(across.distinct(), segments, rule), "ngram-links"))
+    release_shuffles(docs.sparkSession)
     labels = components(links)
 
     slim = profiles.select("doc_id", "n", "key", _bucket(F.col("doc_id")).alias("bucket"))
