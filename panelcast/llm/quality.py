@@ -39,6 +39,8 @@ DIM = len(FLOORS)
 HALF = 0.75
 #: Concentration steps after which an estimate that still moves is taken as it is; a few suffice.
 MOST_STEPS = 30
+#: An estimate whose numbers change by no more than this share has come to rest.
+TOLERANCE = 1e-3
 PRIOR = 20.0
 # Fixed values for five dimensions: the consistency factors of covariances over the inner 75 %
 # and 97.5 % of a normal sample, the 97.5 % quantile, and the quantile at 1 - 1e-7.
@@ -222,7 +224,7 @@ def _moved(before: DataFrame, after: DataFrame) -> bool:
     old = before.select("grp", F.col("mean").alias("mean0"), F.col("whiten").alias("whiten0"))
     both = after.join(old, "grp")
     apart = F.exists(
-        F.zip_with(F.concat("mean", "whiten"), F.concat("mean0", "whiten0"), lambda a, b: F.abs(a - b) > 1e-9 * (1 + F.abs(b))),
+        F.zip_with(F.concat("mean", "whiten"), F.concat("mean0", "whiten0"), lambda a, b: F.abs(a - b) > TOLERANCE * (1 + F.abs(b))),
         lambda far: far,
     )
     return not both.where(apart).isEmpty()

@@ -109,6 +109,13 @@ def _plain_estimate(groups, languages):
             out[g] = mean, (q / n - np.outer(mean, mean)) * factor + np.diag(floors**2)
         return out
 
+    def moved(before, after):
+        def numbers(mean, cov):
+            return np.concatenate([mean, np.linalg.inv(np.linalg.cholesky(cov))[np.tril_indices(len(mean))]])
+
+        old, new = numbers(*before), numbers(*after)
+        return (np.abs(new - old) > quality.TOLERANCE * (1 + np.abs(old))).any()
+
     estimate = {}
     for g, x in groups.items():
         middle = np.median(x, axis=0)
@@ -117,7 +124,7 @@ def _plain_estimate(groups, languages):
     for _ in range(quality.MOST_STEPS):
         chosen = {g: nearest(x, estimate[g]) for g, x in groups.items()}
         last, estimate = estimate, shrunk(chosen, 1.0)
-        if all(np.allclose(last[g][0], estimate[g][0]) and np.allclose(last[g][1], estimate[g][1]) for g in names):
+        if not any(moved(last[g], estimate[g]) for g in names):
             break
     estimate = shrunk(chosen, quality.FACTOR_HALF)
     inner = {g: x[distances(x, estimate[g]) <= quality.INNER] for g, x in groups.items()}
