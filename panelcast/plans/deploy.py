@@ -54,9 +54,13 @@ def retrain(data: PanelData, registry: list[ModelSpec], folder: str) -> Forecast
         spark,
         f"{folder}/runs",
         f"retrain-{uuid.uuid4().hex}",
-        f"train-{record['model']}",
-        {"model": record["model"], **{f"param_{k}": v for k, v in record["params"].items()}},
-        {"retrained_on_rows": data.visits.count()},
+        [
+            (
+                f"train-{record['model']}",
+                {"model": record["model"], **{f"param_{k}": v for k, v in record["params"].items()}},
+                {"retrained_on_rows": data.visits.count()},
+            )
+        ],
     )
     return model
 

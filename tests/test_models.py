@@ -326,7 +326,13 @@ def test_selection_to_forecast(spark, data, tmp_path):
     assert set(record["holdout_metrics"]) == {"rmsle", "mae", "weighted_mae"}
     assert 0 < len(record["selected_features"]) <= 35
     runs = sinks.read_runs(spark, f"{folder}/runs")
-    assert {r["name"] for r in runs.collect()} >= {"step1-gbt", "step3-seasonal_naive"}
+    log = {r["name"]: r for r in runs.collect()}
+    steps = {f"{p}-{m}" for p in ("step1", "step3", "report") for m in ("gbt", "seasonal_naive")}
+    assert log.keys() == steps | {"step2-feature-selection", "report-summary"}
+    assert log["step2-feature-selection"]["params"]["n_selected"] == str(len(record["selected_features"]))
+    assert {"rmsle", "mae_spring", "rmsle_h1"} <= log["report-gbt"]["metrics"].keys()
+    assert log["report-summary"]["params"]["winner"] == record["model"]
+    assert log["report-summary"]["metrics"]["holdout_mae"] == record["holdout_metrics"]["mae"]
     assert runs.select("run_id").distinct().count() == 1
     tables = sinks.read_report(spark, f"{folder}/report")
     assert set(tables) == {"scores", "predictions", "errors", "holdout", "importances"}
