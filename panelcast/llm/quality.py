@@ -6,7 +6,7 @@ coordinate medians, each concentration step keeps the ``HALF`` of a group with t
 Mahalanobis distances and takes their mean and covariance. Steps are one aggregation with
 map-side sums each, so a group of any size costs no more than its rows; only one row per group is
 joined back. The share kept is cut at a bin of the distance's logarithm, the same for all sizes.
-Steps go on until no group's estimate moves any more.
+Steps go on, each lowering the covariance's determinant, until no group has one left.
 
 Statistics that are zero in most of a group's rows (symbols, repeats) make the covariance singular.
 Each variance therefore gets the square of ``FLOORS`` added: far below the spread of the numbers of
@@ -37,10 +37,9 @@ STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_wor
 FLOORS = {"x_words": 0.1, "x_length": 0.05, "x_symbols": 0.02, "x_lines": 0.08, "x_repeats": 0.05}
 DIM = len(FLOORS)
 HALF = 0.75
-#: Concentration steps after which an estimate that still moves is taken as it is; a few suffice.
-MOST_STEPS = 30
-#: An estimate whose numbers change by no more than this share has come to rest.
-TOLERANCE = 1e-3
+#: A step that lowers the logarithm of a determinant's root by no more than this is none, and a group
+#: without one keeps its estimate. Steps end when no group has one; a few suffice.
+TOLERANCE, MOST_STEPS = 1e-3, 30
 PRIOR = 20.0
 # Fixed values for five dimensions: the consistency factors of covariances over the inner 75 %
 # and 97.5 % of a normal sample, the 97.5 % quantile, and the quantile at 1 - 1e-7.
@@ -219,26 +218,33 @@ def _start(rows: DataFrame) -> DataFrame:
     return spread.select("grp", "mean", F.array(*whiten).alias("whiten"))
 
 
-def _moved(before: DataFrame, after: DataFrame) -> bool:
-    """Whether any group's estimate has changed (one row per group)."""
-    old = before.select("grp", F.col("mean").alias("mean0"), F.col("whiten").alias("whiten0"))
-    both = after.join(old, "grp")
-    apart = F.exists(
-        F.zip_with(F.concat("mean", "whiten"), F.concat("mean0", "whiten0"), lambda a, b: F.abs(a - b) > TOLERANCE * (1 + F.abs(b))),
-        lambda far: far,
-    )
-    return not both.where(apart).isEmpty()
+def _tighter(last: DataFrame, new: DataFrame, first: bool) -> DataFrame:
+    """Per group the new estimate, with ``better``, if its determinant is smaller by ``TOLERANCE``; else
+    the last one, which then stays. One row per group."""
+    own = F.lit(0.0)
+    for i in range(DIM):
+        own = own + F.log(F.col("whiten")[i * (i + 1) // 2 + i])
+    named = [F.col(c).alias(f"old_{c}") for c in ("mean", "whiten", "tight")] if not first else []
+    scored = new.withColumn("tight", own)
+    if first:
+        return scored.withColumn("better", F.lit(True))
+    both = scored.join(last.select("grp", *named), "grp")
+    better = F.col("tight") > F.col("old_tight") + TOLERANCE
+    kept = [F.when(better, F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in ("mean", "whiten", "tight")]
+    return both.select("grp", *kept, better.alias("better"))
 
 
 def estimates(rows: DataFrame) -> DataFrame:
     """One row per group (``grp``, in ``lang_key``) of vectors (``v``, ``salt``): mean and whitening matrix."""
     estimate = stage(_start(rows), "mcd")
-    for _ in range(MOST_STEPS):
-        core = stage(_shrunk(_moments(_nearest(rows, estimate, HALF))), "mcd-moments")
-        last, estimate = estimate, stage(_whitener(core, 1.0), "mcd")
-        if not _moved(last, estimate):
+    for step in range(MOST_STEPS):
+        closest = _nearest(rows, estimate.select("grp", "mean", "whiten"), HALF)
+        new = _whitener(_shrunk(_moments(closest)), 1.0)
+        estimate = stage(_tighter(estimate, new, step == 0), "mcd")
+        if estimate.where("better").isEmpty():
             break
-    estimate = stage(_whitener(core, FACTOR_HALF), "mcd")
+    core = _nearest(rows, estimate.select("grp", "mean", "whiten"), HALF)
+    estimate = stage(_whitener(_shrunk(_moments(core)), FACTOR_HALF), "mcd")
     most = _joined(rows, estimate, "grp").where(_distance() <= INNER)
     return stage(_whitener(_shrunk(_moments(most)), FACTOR_MOST), "mcd")
 

@@ -109,23 +109,21 @@ def _plain_estimate(groups, languages):
             out[g] = mean, (q / n - np.outer(mean, mean)) * factor + np.diag(floors**2)
         return out
 
-    def moved(before, after):
-        def numbers(mean, cov):
-            return np.concatenate([mean, np.linalg.inv(np.linalg.cholesky(cov))[np.tril_indices(len(mean))]])
-
-        old, new = numbers(*before), numbers(*after)
-        return (np.abs(new - old) > quality.TOLERANCE * (1 + np.abs(old))).any()
+    def size(fitted):
+        return np.linalg.slogdet(fitted[1])[1] / 2
 
     estimate = {}
     for g, x in groups.items():
         middle = np.median(x, axis=0)
         spread = 1.4826 * np.median(np.abs(x - middle), axis=0)
         estimate[g] = middle, np.diag(spread**2 + floors**2)
-    for _ in range(quality.MOST_STEPS):
-        chosen = {g: nearest(x, estimate[g]) for g, x in groups.items()}
-        last, estimate = estimate, shrunk(chosen, 1.0)
-        if not any(moved(last[g], estimate[g]) for g in names):
+    for step in range(quality.MOST_STEPS):
+        new = shrunk({g: nearest(x, estimate[g]) for g, x in groups.items()}, 1.0)
+        better = [g for g in names if step == 0 or size(new[g]) < size(estimate[g]) - quality.TOLERANCE]
+        estimate = {g: new[g] if g in better else estimate[g] for g in names}
+        if not better:
             break
+    chosen = {g: nearest(x, estimate[g]) for g, x in groups.items()}
     estimate = shrunk(chosen, quality.FACTOR_HALF)
     inner = {g: x[distances(x, estimate[g]) <= quality.INNER] for g, x in groups.items()}
     estimate = shrunk(inner, quality.FACTOR_MOST)
