@@ -49,6 +49,8 @@ INTERVAL = 1.3
 GATHER = 1 << 19
 #: Fragments for verification: the top bits of the hash.
 FRAGMENT_BITS = 3
+#: Parts of the fragments that are verified one after the other.
+SLICES = 4
 
 #: Parts that the rows of one key are dealt over when what is known of the key is joined; at most 64.
 BUCKETS = 64
@@ -281,13 +283,27 @@ def _reaches(rule: Rule, overlap: Column, a: Column, b: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, segments: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, na, b, nb) that reach the threshold, by partial overlaps per fragment."""
-    left = segments.select(F.col("doc_id").alias("a"), "fragment", F.col("segment").alias("left"))
-    right = segments.select(F.col("doc_id").alias("b"), "fragment", F.col("segment").alias("right"))
-    # One kind of join at every size, so that what is measured on small tables holds on large ones.
-    parts = pairs.hint("merge").join(left, "a").hint("merge").join(right, ["b", "fragment"])
-    parts = parts.select("a", "na", "b", "nb", F.size(F.array_intersect("left", "right")).alias("part"))
-    summed = parts.groupBy("a", "na", "b", "nb").agg(F.sum("part").alias("overlap"))
+    """The pairs (a, na, b, nb) that reach the threshold, by partial overlaps per fragment.
+
+    Some fragments at a time are met with the pairs, and only the counts are kept, so that no more than
+    their share of the segments lies in shuffle files at once.
+    """
+    pairs = stage(pairs, "ngram-candidates")
+    counts = []
+    for some in range(SLICES):
+        own = segments.where(F.col("fragment") % SLICES == some)
+        left = own.select(F.col("doc_id").alias("a"), "fragment", F.col("segment").alias("left"))
+        right = own.select(F.col("doc_id").alias("b"), "fragment", F.col("segment").alias("right"))
+        # One kind of join at every size, so that what is measured on small tables holds on large ones.
+        parts = pairs.hint("merge").join(left, "a").hint("merge").join(right, ["b", "fragment"])
+        parts = parts.select("a", "na", "b", "nb", F.size(F.array_intersect("left", "right")).alias("part"))
+        counts.append(stage(parts.where("part > 0"), "ngram-overlaps"))
+        del parts
+        release_shuffles(pairs.sparkSession)
+    every = counts[0]
+    for more in counts[1:]:
+        every = every.unionByName(more)
+    summed = every.groupBy("a", "na", "b", "nb").agg(F.sum("part").alias("overlap"))
     return summed.where(_reaches(rule, F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b")
 
 
