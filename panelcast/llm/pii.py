@@ -2,26 +2,28 @@
 
 Fixed formats give the base spans (email, ip, card, phone), each leftmost and non-overlapping.
 High-recall generators then propose more, also overlapping, spans per kind. Boosted trees score
-each candidate by its format and context. They are trained on a bounded sample of documents, where
+each candidate by its format and context. They are trained on all documents, where
 a candidate is positive if it covers a base span of its kind. The generators' own forms (mail with
-``[at]``, IPv6, national phone numbers, grouped cards) can't cover one, so the sample's base spans are
+``[at]``, IPv6, national phone numbers, grouped cards) can't cover one, so all base spans are
 also rewritten into these forms, in their context, as positives, and card numbers into order and part
-numbers, as negatives; such a form found in the sample itself is taught as neither, unless it is part
-of a base span of another kind. One threshold per kind is calibrated on the candidates of held-out
-documents; a kind without held-out positives takes the threshold of all kinds together.
+numbers, as negatives; such a form found in the documents themselves is taught as neither, unless it is
+part of a base span of another kind. One threshold per kind is calibrated on the candidates of all
+documents, each scored by trees that were fitted to the other half of them; a kind without positives
+takes the threshold of all kinds together. Texts that repeat count once.
 
 All of it is built-in column expressions: a text is searched, its candidates described and scored
 within its own row, without a shuffle. The trees, trained by Spark, become nested conditions.
 
 Spans count code points, end exclusive, and are ordered by kind as listed, then start. Null and
 empty texts have none. Repeated rows get equal spans. Without positive and negative candidates in
-the sample, only base spans are found. Output names that are taken are replaced.
+the documents, only base spans are found. Output names that are taken are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -33,10 +35,10 @@ from panelcast.session import stage
 
 KINDS = ("email", "ip", "card", "phone")
 
-#: Documents in the training sample (in expectation), trees, depth, and the precision asked for.
-SAMPLE_DOCUMENTS = 20_000
+#: Trees, depth, the precision asked for, and the parts that calibrate each other's trees.
 TREES, DEPTH = 12, 3
 PRECISION = 0.95
+FOLDS = 2
 
 _LOCAL = "A-Za-z0-9._%+-"
 # The four formats. A run that cannot start a match at its first character cannot
@@ -197,8 +199,10 @@ def _rewritten(kind: str, value: Column) -> dict[int, list[Column]]:
 
 
 def _snippets(sample: DataFrame) -> DataFrame:
-    """``doc, kind, text, from, upto, label``: rewritten base spans in their context."""
-    made = F.array().cast("array<struct<kind:string,text:string,from:int,upto:int,label:double>>")
+    """``doc, kind, text, from, upto, label, form, at``: rewritten base spans in their context, the number
+    of the form and the start of the span."""
+    none = F.array().cast("array<struct<kind:string,text:string,from:int,upto:int,label:double,form:int>>")
+    made = []
     value = F.substring("text", F.col("b.start") + 1, F.col("b.end") - F.col("b.start"))
     before = F.substring("text", F.greatest(F.col("b.start") - CONTEXT + 1, F.lit(1)), F.least(F.col("b.start"), F.lit(CONTEXT)))
     after = F.substring("text", F.col("b.end") + 1, F.lit(CONTEXT))
@@ -211,31 +215,48 @@ def _snippets(sample: DataFrame) -> DataFrame:
                     F.length(before).alias("from"),
                     (F.length(before) + F.length(form)).alias("upto"),
                     F.lit(float(label)).alias("label"),
+                    F.lit(len(made)).alias("form"),
                 )
-                made = F.concat(made, F.when(F.col("b.kind") == kind, F.array(row)).otherwise(F.slice(made, 1, 0)))
+                made.append(F.when(F.col("b.kind") == kind, F.array(row)).otherwise(none))
     spans_ = sample.select("doc", "text", F.explode("base").alias("b"))
-    return spans_.select("doc", F.inline(made))
+    return spans_.select("doc", F.col("b.start").alias("at"), F.inline(F.concat(*made)))
 
 
 def rewritten_candidates(sample: DataFrame) -> DataFrame:
-    """``doc, kind, x, label``: the candidates that cover a rewritten span as a whole."""
+    """``doc, kind, x, label``: the candidates that cover a rewritten span as a whole; also their place."""
     both = _snippets(sample).select("*", candidates(F.col("text")).alias("found"))
-    rows = both.select("doc", "kind", "from", "upto", "label", F.explode("found").alias("c"))
+    rows = both.select("doc", "kind", "from", "upto", "label", "form", "at", F.explode("found").alias("c"))
     whole = (F.col("c.kind") == F.col("kind")) & (F.col("c.start") <= F.col("from")) & (F.col("c.end") >= F.col("upto"))
-    return rows.where(whole).select("doc", "kind", "c.x", "label")
+    return rows.where(whole).select("doc", "kind", "c.x", "label", "form", "at", "c.start", "c.end")
 
 
-def sampled(docs: DataFrame, text: str = "text", documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
-    """``doc, text, base`` of the training sample: the distinct texts of a hash class."""
-    texts = docs.select(F.col(text).alias("text")).where(F.length("text") > 0)
-    classes = max(1, texts.count() // documents)
-    chosen = texts.where((F.pmod(F.xxhash64("text"), F.lit(classes)) == 0) & F.col("text").rlike("[0-9@]")).distinct()
-    return chosen.select(F.xxhash64("text").alias("doc"), "text", base_spans(F.col("text")).alias("base"))
+def sampled(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``doc, text, base`` of every text that may hold a candidate; equal texts share a ``doc``."""
+    texts = docs.select(F.col(text).alias("text")).where((F.length("text") > 0) & F.col("text").rlike("[0-9@]"))
+    return texts.select(F.xxhash64("text").alias("doc"), "text", base_spans(F.col("text")).alias("base"))
 
 
-def held_out(doc: Column) -> Column:
-    """Whether a sampled document calibrates; the others are fitted to."""
-    return F.pmod(doc, F.lit(5)) == 0
+def labelled(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``doc, kind, x, label`` of all candidates that teach, found and rewritten, once per distinct text.
+
+    Repeated texts give equal rows with equal places, so these narrow rows are made distinct, not the texts."""
+    sample = sampled(docs, text)
+    both = sample.select("doc", "text", "base", F.explode(candidates(F.col("text"))).alias("c"))
+    covered = F.exists("base", lambda b: (b["kind"] == F.col("c.kind")) & (b["start"] >= F.col("c.start")) & (b["end"] <= F.col("c.end")))
+    other = F.exists("base", lambda b: (b["start"] < F.col("c.end")) & (b["end"] > F.col("c.start")))
+    value = F.substring("text", F.col("c.start") + 1, F.col("c.end") - F.col("c.start"))
+    form = {"email": value.contains("@"), "ip": ~value.contains(":"), "card": F.lit(True), "phone": value.startswith("+")}
+    base_form = F.lit(True)
+    for kind, fits in form.items():
+        base_form = F.when(F.col("c.kind") == kind, fits).otherwise(base_form)
+    place = [F.lit(-1).alias("form"), F.lit(-1).alias("at"), "c.start", "c.end"]
+    found = both.where(covered | other | base_form).select("doc", "c.kind", "c.x", covered.cast("double").alias("label"), *place)
+    return found.unionByName(rewritten_candidates(sample)).distinct().select("doc", "kind", "x", "label")
+
+
+def held_out(doc: Column, fold: int = 0) -> Column:
+    """Whether a document calibrates the trees of a fold, which are fitted to the others."""
+    return F.pmod(doc, F.lit(FOLDS)) == fold
 
 
 @dataclass(frozen=True)
@@ -269,36 +290,33 @@ def _threshold(counts: list) -> float | None:
     """The least margin above which all held-out candidates together have the precision asked for."""
     n = good = 0.0
     least = None
-    for row in sorted(counts, key=lambda r: -r["bin"]):
-        n, good = n + row["n"], good + row["good"]
+    for at, rows in groupby(sorted(counts, key=lambda r: -r["bin"]), key=lambda r: r["bin"]):
+        for row in rows:
+            n, good = n + row["n"], good + row["good"]
         if good >= PRECISION * n:
-            least = row["bin"] / 20
+            least = at / 20
     return least
 
 
-def train(docs: DataFrame, text: str = "text", documents: int = SAMPLE_DOCUMENTS) -> Model | None:
-    """Fit on the candidates of the sample's documents; a fifth of them calibrates thresholds."""
-    sample = stage(sampled(docs, text, documents), "pii-sample")
-    both = sample.select("doc", "text", "base", candidates(F.col("text")).alias("found"))
-    both = both.select("doc", "text", "base", F.explode("found").alias("c"))
-    covered = F.exists("base", lambda b: (b["kind"] == F.col("c.kind")) & (b["start"] >= F.col("c.start")) & (b["end"] <= F.col("c.end")))
-    other = F.exists("base", lambda b: (b["start"] < F.col("c.end")) & (b["end"] > F.col("c.start")))
-    value = F.substring("text", F.col("c.start") + 1, F.col("c.end") - F.col("c.start"))
-    form = {"email": value.contains("@"), "ip": ~value.contains(":"), "card": F.lit(True), "phone": value.startswith("+")}
-    base_form = F.lit(True)
-    for kind, fits in form.items():
-        base_form = F.when(F.col("c.kind") == kind, fits).otherwise(base_form)
-    rows = both.where(covered | other | base_form).select("doc", "c.kind", "c.x", covered.cast("double").alias("label"))
-    rows = stage(rows.unionByName(rewritten_candidates(sample)), "pii-candidates")
+def train(docs: DataFrame, text: str = "text") -> Model | None:
+    """Fit on the candidates of all documents. Thresholds come from all of them too, each document's
+    candidates scored by trees that were not fitted to it."""
+    rows = stage(labelled(docs, text), "pii-candidates")
     if rows.select("label").distinct().count() < 2:
         return None
     columns = [f"x{i}" for i in range(N_FEATURES)]
     flat = rows.select("doc", "kind", "x", "label", *[F.col("x")[i].alias(c) for i, c in enumerate(columns)])
     flat = VectorAssembler(inputCols=columns, outputCol="features").transform(flat)
     gbt = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=11)
-    margin = _margin(gbt.fit(flat.where(~held_out(F.col("doc")))))
-    scored = flat.where(held_out(F.col("doc"))).withColumn("bin", F.floor(margin(F.col("x")) * 20))
-    counts = scored.groupBy("kind", "bin").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()
+    counts = []
+    for fold in range(FOLDS):
+        fitted = flat.where(~held_out(F.col("doc"), fold))
+        if fitted.select("label").distinct().count() < 2:
+            continue
+        margin = _margin(gbt.fit(fitted))
+        scored = flat.where(held_out(F.col("doc"), fold)).withColumn("bin", F.floor(margin(F.col("x")) * 20))
+        counts += scored.groupBy("kind", "bin").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()
+    margin = _margin(gbt.fit(flat))
     pooled = _threshold(counts)
     least = {}
     for kind in KINDS:
