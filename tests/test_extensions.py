@@ -266,3 +266,21 @@ def test_rolling_spread(spark):
         w = values[i - 7 : i]
         want = (w.std(ddof=1), w.min(), w.max(), np.quantile(w, 0.9))
         assert [out[i][f"roll_{n}_7"] for n in ("std", "min", "max", "q90")] == pytest.approx(want)
+
+
+def test_spread_sorts_gathered_values_and_keeps_its_results(spark):
+    """No percentile over a sliding frame; equal to frames of their own."""
+    from pyspark.sql import Window
+
+    rows = [("s", date(2016, 1, 1) + timedelta(days=i), float((i * 37) % 11) + i / 8) for i in range(60)]
+    dense = densify(spark.createDataFrame(rows, PANEL))
+    out = add_spread(dense)
+    assert "percentile" not in out._jdf.queryExecution().executedPlan().toString()
+    frame = Window.partitionBy("store_id").orderBy(DATE).rowsBetween(-28, -1)
+    parts = {"std": F.stddev_samp(TARGET), "min": F.min(TARGET), "max": F.max(TARGET), "q90": F.percentile(TARGET, 0.9)}
+    want = dense.select(DATE, *[part.over(frame).alias(name) for name, part in parts.items()])
+    both = out.join(want, DATE).orderBy(DATE).collect()
+    for i, r in enumerate(both):
+        for name in parts:
+            got = r[f"roll_{name}_28"]
+            assert got is None if i < 28 else got == pytest.approx(r[name], abs=1e-12)
