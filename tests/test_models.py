@@ -348,3 +348,16 @@ def test_selection_to_forecast(spark, data, tmp_path):
 
 def test_shared_dir_is_the_named_one(spark):
     assert session.shared_dir(spark) == session.shared_dir(spark)
+
+
+def test_weekday_profile_takes_each_phase_by_place(spark):
+    """No test of every value per phase; short windows fall back to all values."""
+    rows = [(k, [float((i * 5 + k) % 13) for i in range(k)]) for k in (1, 3, 7, 8, 30)]
+    win = spark.createDataFrame(rows, "store_id int, ys array<double>")
+    out = WeekdayProfile().forecast(win, 14)
+    assert "filter(" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r["store_id"], r["step"]): r["point"] for r in out.collect()}
+    for k, ys in rows:
+        for step in range(1, 15):
+            on = [v for i, v in enumerate(ys) if (k - 1 - i) % 7 == -step % 7] or ys
+            assert got[k, step] == pytest.approx(sum(on) / len(on))
