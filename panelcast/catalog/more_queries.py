@@ -143,7 +143,7 @@ def fold_features_all(spark, d):
     bt = backtest.Backtest(replace(data, visits=visits), folds, HORIZON)
     names = [TARGET, "lag_7", "roll_mean_7", "roll_median_28", "store_mean", "store_dow_median", "reserve_visitors"]
     frames = [
-        bt.fold_features(s).groupBy("is_closed").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in names]).select(F.lit(s.fold).alias("fold"), "*")
+        bt.fold_features(s, [*names, "is_closed"]).groupBy("is_closed").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in names]).select(F.lit(s.fold).alias("fold"), "*")
         for s in folds
     ]
     return r6(union_all(frames), *names, digits=3)

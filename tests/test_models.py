@@ -361,3 +361,26 @@ def test_weekday_profile_takes_each_phase_by_place(spark):
         for step in range(1, 15):
             on = [v for i, v in enumerate(ys) if (k - 1 - i) % 7 == -step % 7] or ys
             assert got[k, step] == pytest.approx(sum(on) / len(on))
+
+
+def test_folds_stage_selected_columns_and_share_one_exchange(spark, data):
+    folds = rolling_origin_splits(date(2016, 5, 1), 3, 14)
+    names = ["lag_7", "store_mean", "is_closed"]
+    bt = Backtest(data, folds, 14)
+    frames = [bt.fold_features(s, names) for s in folds]
+    assert set(bt.frame(names).columns) == {"store_id", "date", "visitors", "lag_7", "is_closed", "dow"}
+    wide = Backtest(data, folds, 14)
+    for s, frame in zip(folds, frames, strict=True):
+        want = wide.fold_features(s).select(*frame.columns)
+        assert max(r["date"] for r in frame.collect()) <= s.train_end
+        assert frame.exceptAll(want).count() == want.exceptAll(frame).count() == 0
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for c, value in zip(kept, ("false", "-1"), strict=True):
+            spark.conf.set(c, value)
+        sums = [f.groupBy().agg(F.sum("lag_7")) for f in frames]
+        plan = sums[0].union(sums[1]).union(sums[2])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for c, value in kept.items():
+            spark.conf.set(c, value)
+    assert plan.count("ReusedExchange") >= 2
