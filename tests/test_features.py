@@ -1,5 +1,6 @@
 from datetime import date, timedelta
 
+import numpy as np
 import pandas as pd
 import pytest
 from conftest import PANEL, ramp
@@ -215,3 +216,19 @@ def test_null_target_counts_as_closed(spark):
     visits = spark.createDataFrame([("s", date(2016, 1, 1), None), ("s", date(2016, 1, 2), 3.0)], PANEL)
     rows = by_day(densify(visits))
     assert rows[date(2016, 1, 1)]["is_closed"] == 1 and rows[date(2016, 1, 1)]["visitors"] == 0.0
+
+
+def test_means_over_multiples_share_one_sliding_sum(spark, data):
+    dense = densify(data.visits)
+    widths = (3, 6, 7, 12)
+    made = add_history(dense, lags=(1,), windows=widths)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "avg(" not in plan
+    assert [w for w in widths if f"-{w}, -1)" in plan] == [3, 7, 12]  # 12 days are gathered for the medians
+    got = made.toPandas().sort_values(["store_id", "date"])
+    by_store = got.groupby("store_id")["visitors"]
+    for w in widths:
+        want = by_store.transform(lambda s, w=w: s.shift(1).rolling(w).mean())
+        np.testing.assert_allclose(got[f"roll_mean_{w}"].astype(float), want, rtol=1e-12)
+        middle = by_store.transform(lambda s, w=w: s.shift(1).rolling(w).median())
+        np.testing.assert_allclose(got[f"roll_median_{w}"].astype(float), middle, rtol=1e-12)
