@@ -143,17 +143,64 @@ def correlation_with(df: DataFrame, target: str, columns: list[str]) -> DataFram
 
 
 def _correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    values = [F.corr(F.col(a).cast("double"), F.col(b).cast("double")) for a, b in pairs]
-    wide = df.agg(*[v.alias(f"_c{i}") for i, v in enumerate(values)])
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"_c{i}").alias("corr")
-            )
-            for i, (a, b) in enumerate(pairs)
-        ]
-    )
-    return wide.select(F.inline(rows))
+    """``left, right, corr`` per pair. Each task sums deviations from its own means over whole batches
+    and hands on one row per pair; tasks are merged with the distances of their means."""
+    columns = sorted({c for pair in pairs for c in pair})
+    at = [(columns.index(a), columns.index(b)) for a, b in pairs]
+    rows = df.select(*[F.col(c).cast("double") for c in columns])
+    parts = rows.mapInArrow(lambda it: _moments(it, at), _MOMENTS)
+    # A pair without any row still has its line.
+    none = df.sparkSession.range(len(pairs)).select(F.col("id").cast("int").alias("i"), *[F.lit(0.0).alias(c) for c in _SUMS])
+    listed = parts.unionByName(none).groupBy("i").agg(F.sort_array(F.collect_list(F.struct(*_SUMS))).alias("parts"))
+    merged = listed.select("i", F.aggregate("parts", F.struct(*[F.lit(0.0).alias(c) for c in _SUMS]), _together).alias("m"))
+    corr = F.when(F.col("m.n") > 1, F.col("m.xy") / F.sqrt(F.col("m.xx") * F.col("m.yy")))
+    left, right = (F.array(*[F.lit(pair[k]) for pair in pairs]) for k in (0, 1))
+    return merged.select(F.get(left, F.col("i")).alias("left"), F.get(right, F.col("i")).alias("right"), corr.alias("corr"))
+
+
+_SUMS = ("n", "x", "y", "xx", "yy", "xy")
+_MOMENTS = "i int, " + ", ".join(f"{c} double" for c in _SUMS)
+
+
+def _together(a: Column, b: Column) -> Column:
+    """Two parts' counts, means and sums of products of deviations, as one."""
+    n = F.greatest(a["n"] + b["n"], F.lit(1.0))
+    share, between = b["n"] / n, a["n"] * b["n"] / n
+    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+    values = {"n": a["n"] + b["n"], "x": a["x"] + dx * share, "y": a["y"] + dy * share}
+    for name, product in (("xx", dx * dx), ("yy", dy * dy), ("xy", dx * dy)):
+        values[name] = a[name] + b[name] + product * between
+    return F.struct(*[v.alias(c) for c, v in values.items()])
+
+
+def _moments(batches: Iterator[pa.RecordBatch], at: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """A task's counts, means and sums of products of deviations, per pair, of the rows where both are known."""
+    left, right = np.array(at).T
+    total = np.zeros((6, len(at)))
+    with np.errstate(all="ignore"):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            known = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns])
+            x = np.column_stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns])
+            first = x[known.argmax(0), np.arange(x.shape[1])]
+            both = known[:, left] & known[:, right]
+            n = both.sum(0).astype(float)
+            share = np.maximum(n, 1.0)
+            # From the first value, so that equal values have no deviation at all.
+            a, b = (np.where(both, x[:, k] - first[k], 0.0) for k in (left, right))
+            mean_a, mean_b = a.sum(0) / share, b.sum(0) / share
+            a, b = np.where(both, a - mean_a, 0.0), np.where(both, b - mean_b, 0.0)
+            own = [n, first[left] + mean_a, first[right] + mean_b, (a * a).sum(0), (b * b).sum(0), (a * b).sum(0)]
+            own = np.where(n > 0, own, 0.0)
+            sums = np.maximum(total[0] + n, 1.0)
+            dx, dy = own[1] - total[1], own[2] - total[2]
+            between = total[0] * n / sums
+            total[1:3] += np.stack([dx, dy]) * n / sums
+            total[3:] += own[3:] + np.stack([dx * dx, dy * dy, dx * dy]) * between
+            total[0] += n
+    columns = [pa.array(np.arange(len(at), dtype=np.int32)), *map(pa.array, total)]
+    yield pa.RecordBatch.from_arrays(columns, ["i", *_SUMS])
 
 
 def _gram(batches: Iterator[pa.RecordBatch], p: int) -> Iterator[pa.RecordBatch]:

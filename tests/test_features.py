@@ -6,6 +6,7 @@ import pytest
 from conftest import PANEL, ramp
 from pyspark.sql import functions as F
 
+from panelcast.operators import profile
 from panelcast.operators.bookings import add_bookings, daily_bookings, daily_bookings_from
 from panelcast.operators.calendar import add_calendar, add_holidays
 from panelcast.operators.entities import add_entities, store_metadata
@@ -232,3 +233,24 @@ def test_means_over_multiples_share_one_sliding_sum(spark, data):
         np.testing.assert_allclose(got[f"roll_mean_{w}"].astype(float), want, rtol=1e-12)
         middle = by_store.transform(lambda s, w=w: s.shift(1).rolling(w).median())
         np.testing.assert_allclose(got[f"roll_median_{w}"].astype(float), middle, rtol=1e-12)
+
+
+def test_correlations_are_merged_from_parts(spark):
+    rng = np.random.default_rng(3)
+    n = 3000
+    frame = pd.DataFrame({"a": 1e6 + rng.normal(size=n), "b": rng.normal(size=n), "c": rng.integers(0, 9, n).astype(float)})
+    frame["b"] += 0.5 * (frame["a"] - 1e6)
+    frame.loc[rng.random(n) < 0.2, "b"] = np.nan
+    frame.loc[rng.random(n) < 0.1, "c"] = np.nan
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in frame.itertuples(index=False)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(5)
+    found = profile.correlation_pairs(df, ["a", "b", "c"])
+    assert "corr(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.left, r.right): r["corr"] for r in found.collect()}
+    want = frame.corr()
+    assert got.keys() == {("a", "b"), ("a", "c"), ("b", "c")}
+    for (left, right), value in got.items():
+        assert value == pytest.approx(want.loc[left, right], abs=1e-9)
+    assert [r["corr"] for r in profile.correlation_pairs(df.limit(0), ["a", "b", "c"]).collect()] == [None] * 3
+    single = profile.correlation_with(df.limit(1), "c", ["a"]).collect()
+    assert [(r.feature, r["corr"]) for r in single] == [("a", None)]
