@@ -16,8 +16,8 @@ from panelcast.llm import bpe, ngram_join, quality, secret_scan, source_mix
 from panelcast.session import stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Near duplicates: shingles of five words, a similarity of 0.8 or more.
-NEAR = ngram_join.Rule(words=5, num=8, den=10)
+#: Near duplicates: shingles of five words, a similarity of 0.8 or more; its many signatures in parts.
+NEAR = ngram_join.Rule(words=5, num=8, den=10, passes=3)
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 

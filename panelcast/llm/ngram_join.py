@@ -61,11 +61,13 @@ _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], _U)
 
 @dataclass(frozen=True)
 class Rule:
-    """Shingles of ``words`` words, linked from a similarity of ``num / den``."""
+    """Shingles of ``words`` words, linked from a similarity of ``num / den``. Signatures are exchanged in
+    ``passes`` parts by their hash, one after the other: the lower the similarity, the more there are."""
 
     words: int = 3
     num: int = 9
     den: int = 10
+    passes: int = 1
 
     @property
     def least(self) -> int:
@@ -179,8 +181,8 @@ def _combined(sig: np.ndarray, cls: np.ndarray, n: np.ndarray) -> pa.RecordBatch
     )
 
 
-def _signed(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """Signatures of all documents with the class (the start of the set's key) and size."""
+def _signed(batches: Iterator[pa.RecordBatch], rule: Rule, some: int = 0) -> Iterator[pa.RecordBatch]:
+    """One pass's signatures of all documents with the class (the start of the set's key) and size."""
     held: list[tuple[np.ndarray, int, int]] = []
     size = 0
 
@@ -198,6 +200,7 @@ def _signed(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Record
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 found = shingles(words[a:b], rule.words)
                 signs = signatures(found, rule)
+                signs = signs[signs % _U(rule.passes) == some]
                 if len(signs):
                     held.append((signs, int.from_bytes(set_key(found)[:8], "big", signed=True), len(found)))
                     size += len(signs)
@@ -386,10 +389,16 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Ru
     made = rows.mapInArrow(lambda it: _profiles(it, rule), "doc_id long, n long, key binary")
     profiles = stage(made, "ngram-profiles")
     named_rows = rows.where("doc_id IS NOT NULL").select("text")
-    placed = named_rows.mapInArrow(lambda it: _signed(it, rule), _MEMBER).repartition("sig").sortWithinPartitions("sig")
-    met = stage(placed.mapInArrow(lambda it: _met(it, rule), _CROWD).distinct(), "ngram-met")
-    del made, placed
-    release_shuffles(docs.sparkSession)  # the signatures are the largest exchange by far
+    parts = []
+    for some in range(rule.passes):
+        signed = named_rows.mapInArrow(functools.partial(_signed, rule=rule, some=some), _MEMBER)
+        placed = signed.repartition("sig").sortWithinPartitions("sig")
+        parts.append(stage(placed.mapInArrow(lambda it: _met(it, rule), _CROWD).distinct(), "ngram-met"))
+        del signed, placed
+        release_shuffles(docs.sparkSession)  # the signatures are the largest exchange by far
+    # A pair that meets in several passes is there as often; both uses below take it once.
+    met = functools.reduce(DataFrame.unionByName, parts)
+    del made
 
     whole = profiles.where("n > 0 AND doc_id IS NOT NULL")
     start = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")

@@ -111,3 +111,24 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20, 40)] + [(2, 1)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(links).collect()}
     assert got == {**dict.fromkeys(range(20, 41), 20), 1: 1, 2: 1}
+
+
+def test_signatures_in_passes(spark, monkeypatch):
+    """Every signature is exchanged in exactly one pass, and the groups are those of one pass."""
+    rows = corpus()
+    batch = pa.RecordBatch.from_pydict({"text": [t for _, t in rows]})
+
+    def members(rule, some=0):
+        found = [b.to_pydict() for b in ngram_join._signed(iter([batch]), rule, some)]
+        return [m for f in found for m in zip(f["sig"], f["cls"], f["n"], strict=True) if m[2] > 0]
+
+    monkeypatch.setattr(ngram_join, "SMALL", 10**6)
+    thirds = ngram_join.Rule(words=5, num=8, den=10, passes=3)
+    parts = [members(thirds, some) for some in range(3)]
+    whole = members(FIVE)
+    assert sorted(m for part in parts for m in part) == sorted(whole)
+    assert all(0 < len(part) < len(whole) / 2 for part in parts)
+    monkeypatch.undo()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.groups(df, rule=thirds).collect() if r.doc_id is not None}
+    assert got == brute_force(rows, 5, 80)
