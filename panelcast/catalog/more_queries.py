@@ -15,27 +15,29 @@ from panelcast.operators.history import add_spread
 from panelcast.plans import backtest, selection
 from panelcast.plans.features import build_features
 from panelcast.schema import DATE, KEYS, ROLL_WINDOWS, STORE, TARGET
+from panelcast.session import stage
 from panelcast.sources import bindings
 
 ALPHA = 0.1
 CLUSTERS = 6
 
 
-def _levels(spark, d):
-    """The panel of all nodes of the store tree, and the tree."""
+def _levels(spark, d, staged=True):
+    """The panel of all nodes of the store tree, and the tree; as tables if they are read several times."""
     visits = bindings.visits(spark, d)
     paths = hierarchy.store_paths(visits, bindings.stores(spark, d))
-    return hierarchy.level_panels(visits, paths), hierarchy.tree_of(paths)
+    nodes, tree = hierarchy.level_panels(visits, paths), hierarchy.tree_of(paths)
+    return (stage(nodes, "level-panels"), stage(tree, "store-tree")) if staged else (nodes, tree)
 
 
 @query
 def store_tree(spark, d):
-    return _levels(spark, d)[1]
+    return _levels(spark, d, staged=False)[1]
 
 
 @query
 def level_panels(spark, d):
-    return _levels(spark, d)[0]
+    return _levels(spark, d, staged=False)[0]
 
 
 def _reconciled(spark, d):
