@@ -46,7 +46,7 @@ SMALL = 32
 #: Ratio of the bounds of a size interval.
 INTERVAL = 1.3
 #: Signatures that a task gathers before it sends them on.
-GATHER = 1 << 19
+GATHER = 1 << 18
 #: Fragments for verification: the top bits of the hash.
 FRAGMENT_BITS = 3
 #: Parts of the fragments that are verified one after the other.
@@ -62,7 +62,8 @@ _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], _U)
 @dataclass(frozen=True)
 class Rule:
     """Shingles of ``words`` words, linked from a similarity of ``num / den``. Signatures are exchanged in
-    ``passes`` parts by their hash, one after the other: the lower the similarity, the more there are."""
+    ``passes`` parts by their hash, one after the other: the lower the similarity, the more there are. So are the
+    texts and segments of the documents to verify, by document."""
 
     words: int = 3
     num: int = 9
@@ -410,11 +411,16 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Ru
     small = stage(pairs, "ngram-pairs")
     crowded = met.where("other IS NULL").select("cls").distinct().join(heads, "cls").select(F.col("doc").alias("doc_id"))
     needed = small.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(crowded).distinct()
-    texts = rows.join(needed.hint("merge"), "doc_id", "left_semi")
-    cut = texts.mapInArrow(lambda it: _segments(it, rule), "doc_id long, n long, fragment int, segment array<long>")
-    segments = stage(cut.groupBy("doc_id", "n", "fragment").agg(F.max("segment").alias("segment")), "ngram-segments")
-    del texts, cut
-    release_shuffles(docs.sparkSession)
+    needed = stage(needed, "ngram-needed")
+    parts = []
+    for some in range(rule.passes):  # or the exchanges of all texts and of all segments lie on disk at once
+        own = F.pmod(F.xxhash64("doc_id"), F.lit(rule.passes)) == some
+        texts = rows.where(own).join(needed.where(own).hint("merge"), "doc_id", "left_semi")
+        cut = texts.mapInArrow(functools.partial(_segments, rule=rule), "doc_id long, n long, fragment int, segment array<long>")
+        parts.append(stage(cut.groupBy("doc_id", "n", "fragment").agg(F.max("segment").alias("segment")), "ngram-segments"))
+        del texts, cut
+        release_shuffles(docs.sparkSession)
+    segments = functools.reduce(DataFrame.unionByName, parts)
 
     postings = stage(_postings(crowded, segments, rule), "ngram-postings")
     foremost = small.where("first").drop("first").unionByName(_foremost_pairs(postings, rule)).distinct()

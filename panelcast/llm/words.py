@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text hashed at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15

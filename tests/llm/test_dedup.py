@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -132,3 +133,36 @@ def test_signatures_in_passes(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.groups(df, rule=thirds).collect() if r.doc_id is not None}
     assert got == brute_force(rows, 5, 80)
+
+
+def test_texts_to_verify_are_exchanged_in_parts(spark, monkeypatch):
+    rows = corpus(8)
+    df = spark.createDataFrame([*rows, (3, rows[3][1]), (None, rows[0][1])], "doc_id long, text string")
+    rule = ngram_join.Rule(words=5, num=8, den=10, passes=3)
+    staged = {}
+
+    def kept(frame, label, write=ngram_join.stage):
+        staged.setdefault(label, []).append(write(frame, label))
+        return staged[label][-1]
+
+    monkeypatch.setattr(ngram_join, "stage", kept)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.groups(df, rule=rule).collect()}
+    got.pop(None)
+    assert got == brute_force(rows, 5, 80)
+    parts = [{r["doc_id"] for r in t.select("doc_id").distinct().collect()} for t in staged["ngram-segments"]]
+    needed = {r["doc_id"] for r in staged["ngram-needed"][0].collect()}
+    assert len(parts) == rule.passes and all(parts) and sum(map(len, parts)) == len(set().union(*parts))
+    assert set().union(*parts) == needed
+
+
+def test_hashing_a_batch_takes_little_memory():
+    """Two workers share an executor's memory with its heap: temporaries follow the block, not the batch."""
+    text = " ".join(f"word{i % 977}" for i in range(400))
+    texts = pa.array([text] * 4000)
+    list(words.word_blocks(texts.slice(0, 10)))
+    tracemalloc.start()
+    for _ in words.word_blocks(texts):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20
