@@ -29,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of alike ones; documents without an id all
     stay. Of rows that share an id, the smallest by text, language, source and length stays."""
-    found = ngram_join.groups(docs, rule=NEAR)
+    found = ngram_join.groups(docs, rule=NEAR, tidy=True)
     first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     alike = docs.select(COLUMNS).join(first, "doc_id", "left_semi")
     least = F.min(F.struct("text", "lang", "source", "n_chars"))

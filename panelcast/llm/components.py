@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.session import stage
+from panelcast.session import discard, stage
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -29,6 +29,7 @@ def components(links: DataFrame) -> DataFrame:
             "node", F.least("lower", "jump").alias("component"), (F.least("lower", "jump") < F.col("component")).alias("moved")
         )
         after = stage(after, "components")
+        discard(labels)
         labels = after.drop("moved")
         if not after.where("moved").limit(1).count():
             return labels

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.components import components
 from panelcast.llm.words import mix, word_blocks
-from panelcast.session import release_shuffles, stage
+from panelcast.session import discard, release_shuffles, stage
 
 #: Signatures with more classes than this go through the prefix join.
 SMALL = 32
@@ -153,33 +153,17 @@ def _profiles(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Reco
             )
 
 
-_MEMBER, _CROWD = "sig long, cls long, n int", "cls long, n int, other long, other_n int, first boolean"
-
-
-def _members(columns: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "cls", "n"])
+_MEMBER = "sig long, cls long, n int"
+#: A pair of classes, or a class of a large signature (``sig``).
+_MET = "cls long, n int, other long, other_n int, first boolean, sig long"
 
 
 def _combined(sig: np.ndarray, cls: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """Each (signature, class) of a block once. A signature of more than ``SMALL`` classes becomes a mark
-    (size 0); its classes are sent on as crowded (negative size), each once, under its own hash."""
+    """Each (signature, class) of a block once."""
     order = np.lexsort((cls, sig))
     sig, cls, n = sig[order], cls[order], n[order]
     fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])])
-    sig, cls, n = sig[fresh], cls[fresh], n[fresh]
-    starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-    sizes = np.diff(np.append(starts, len(sig)))
-    crowded = np.repeat(sizes > SMALL, sizes)
-    marks = sig[starts[sizes > SMALL]]
-    known, first = np.unique(cls[crowded], return_index=True)
-    own = mix(known.view(_U)).view(np.int64)
-    return _members(
-        [
-            np.concatenate([sig[~crowded], marks, own]),
-            np.concatenate([cls[~crowded], np.zeros(len(marks), np.int64), known]),
-            np.concatenate([n[~crowded], np.zeros(len(marks), np.int32), -n[crowded][first]]),
-        ]
-    )
+    return pa.RecordBatch.from_arrays([pa.array(c[fresh]) for c in (sig, cls, n)], ["sig", "cls", "n"])
 
 
 def _signed(batches: Iterator[pa.RecordBatch], rule: Rule, some: int = 0) -> Iterator[pa.RecordBatch]:
@@ -213,32 +197,34 @@ def _signed(batches: Iterator[pa.RecordBatch], rule: Rule, some: int = 0) -> Ite
 
 
 def _met(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by signature: pairs of classes that share one, and crowded classes alone."""
+    """From rows sorted by signature: pairs of classes that share one. A signature of more than ``SMALL``
+    classes gives those with its first class, and each of its classes beside the signature."""
     left = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
 
     def found(columns: list[np.ndarray]) -> pa.RecordBatch | None:
         sig, cls, n = columns
         starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         ends = np.append(starts[1:], len(sig))
-        alone = n < 0
-        parts = [(cls[alone], -n[alone], None, None, None)]
+        parts = []
         for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-            members, first = np.unique(cls[a:b][n[a:b] > 0], return_index=True)
-            sizes = n[a:b][n[a:b] > 0][first]
-            if len(members) > SMALL or (n[a:b] == 0).any():
-                parts.append((members, sizes, None, None, None))
-            elif len(members) > 1:
+            members, at = np.unique(cls[a:b], return_index=True)
+            sizes = n[a:b][at]
+            many = len(members) > SMALL
+            if many:
+                parts.append((members, sizes, None, None, None, np.full(len(members), sig[a])))
+                i, j = np.zeros(len(members) - 1, np.int64), np.arange(1, len(members))
+            else:
                 i, j = np.triu_indices(len(members), 1)
-                fit = rule.den * np.minimum(sizes[i], sizes[j]) >= rule.num * np.maximum(sizes[i], sizes[j])
-                parts.append((members[i[fit]], sizes[i[fit]], members[j[fit]], sizes[j[fit]], i[fit] == 0))
+            fit = rule.den * np.minimum(sizes[i], sizes[j]) >= rule.num * np.maximum(sizes[i], sizes[j])
+            parts.append((members[i[fit]], sizes[i[fit]], members[j[fit]], sizes[j[fit]], i[fit] == 0, None))
         lengths = [len(p[0]) for p in parts]
         if not sum(lengths):
             return None
         arrays = [pa.array(np.concatenate([p[0] for p in parts])), pa.array(np.concatenate([p[1] for p in parts]), pa.int32())]
-        for k, kind in ((2, pa.int64()), (3, pa.int32()), (4, pa.bool_())):
+        for k, kind in ((2, pa.int64()), (3, pa.int32()), (4, pa.bool_()), (5, pa.int64())):
             chunks = [pa.nulls(m, kind) if p[k] is None else pa.array(p[k], kind) for p, m in zip(parts, lengths, strict=True)]
             arrays.append(pa.concat_arrays(chunks))
-        return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in _CROWD.split(", ")])
+        return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in _MET.split(", ")])
 
     for batch in batches:
         columns = [np.concatenate([h, c.to_numpy()]) for h, c in zip(left, batch.columns, strict=True)]
@@ -304,11 +290,12 @@ def _verified(pairs: DataFrame, segments: DataFrame, rule: Rule) -> DataFrame:
         counts.append(stage(parts.where("part > 0"), "ngram-overlaps"))
         del parts
         release_shuffles(pairs.sparkSession)
-    every = counts[0]
-    for more in counts[1:]:
-        every = every.unionByName(more)
+    every = functools.reduce(DataFrame.unionByName, counts)
     summed = every.groupBy("a", "na", "b", "nb").agg(F.sum("part").alias("overlap"))
-    return summed.where(_reaches(rule, F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b")
+    reached = summed.where(_reaches(rule, F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b")
+    links = stage(reached, "ngram-links")
+    discard(pairs, every)
+    return links
 
 
 def _bucket(doc: Column) -> Column:
@@ -384,8 +371,21 @@ def _pairs_across(postings: DataFrame, labels: DataFrame, rule: Rule) -> DataFra
     return met.select(*_ordered_pair(F.col("member"), F.col("member2"))).distinct()
 
 
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` of every row."""
+def _crowded(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents of large signatures (``sig``, ``doc_id``) whose classes are in different components so far."""
+    known = large.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    known = known.select("sig", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    dealt = known.withColumn("bucket", _bucket(F.col("doc_id")))
+    ends = dealt.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), _used_buckets())
+    mixed = ends.where("low < high").select("sig", _each_bucket())
+    return dealt.join(mixed, ["sig", "bucket"], "left_semi").select("doc_id").distinct()
+
+
+def groups(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = Rule(), tidy: bool = False
+) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` of every row. ``tidy`` deletes the texts' segments too
+    once all is verified; other tables in between always are, the result's own never."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     made = rows.mapInArrow(lambda it: _profiles(it, rule), "doc_id long, n long, key binary")
     profiles = stage(made, "ngram-profiles")
@@ -394,7 +394,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Ru
     for some in range(rule.passes):
         signed = named_rows.mapInArrow(functools.partial(_signed, rule=rule, some=some), _MEMBER)
         placed = signed.repartition("sig").sortWithinPartitions("sig")
-        parts.append(stage(placed.mapInArrow(lambda it: _met(it, rule), _CROWD).distinct(), "ngram-met"))
+        parts.append(stage(placed.mapInArrow(lambda it: _met(it, rule), _MET).distinct(), "ngram-met"))
         del signed, placed
         release_shuffles(docs.sparkSession)  # the signatures are the largest exchange by far
     # A pair that meets in several passes is there as often; both uses below take it once.
@@ -409,9 +409,10 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Ru
     pairs = met.where("other IS NOT NULL").join(heads, "cls").join(there, "other")
     pairs = pairs.select(*_ordered_pair(*member), "first").groupBy("a", "na", "b", "nb").agg(F.max("first").alias("first"))
     small = stage(pairs, "ngram-pairs")
-    crowded = met.where("other IS NULL").select("cls").distinct().join(heads, "cls").select(F.col("doc").alias("doc_id"))
-    needed = small.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(crowded).distinct()
-    needed = stage(needed, "ngram-needed")
+    large = stage(met.where("other IS NULL").join(heads, "cls").select("sig", F.col("doc").alias("doc_id")), "ngram-large")
+    discard(met)
+    needed = small.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(large.select("doc_id"))
+    needed = stage(needed.distinct(), "ngram-needed")
     parts = []
     for some in range(rule.passes):  # or the exchanges of all texts and of all segments lie on disk at once
         own = F.pmod(F.xxhash64("doc_id"), F.lit(rule.passes)) == some
@@ -422,12 +423,17 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Ru
         release_shuffles(docs.sparkSession)
     segments = functools.reduce(DataFrame.unionByName, parts)
 
-    postings = stage(_postings(crowded, segments, rule), "ngram-postings")
-    foremost = small.where("first").drop("first").unionByName(_foremost_pairs(postings, rule)).distinct()
-    links = stage(_verified(foremost, segments, rule), "ngram-links")
+    links = _verified(small.where("first").drop("first"), segments, rule)
     labels = components(links)
+    crowded = stage(_crowded(large, labels), "ngram-crowded")
+    postings = stage(_postings(crowded, segments, rule), "ngram-postings")
+    if not postings.isEmpty():
+        links = links.unionByName(_verified(_foremost_pairs(postings, rule), segments, rule))
+        discard(labels)
+        labels = components(links)
     across = _apart(small.where("NOT first").drop("first"), labels).unionByName(_pairs_across(postings, labels, rule))
-    links = links.unionByName(stage(_verified(across.distinct(), segments, rule), "ngram-links"))
+    links = links.unionByName(_verified(across.distinct(), segments, rule))
+    discard(small, large, crowded, postings, labels, *([needed, segments] if tidy else []))
     release_shuffles(docs.sparkSession)
     labels = components(links)
 
