@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from panelcast.catalog.queries import HORIZON, IMPORTANCE_FEATURES, SETTINGS, STUMP, _cv, _holdout, query, r6, union_all
+from panelcast.catalog.queries import HORIZON, IMPORTANCE_FEATURES, SETTINGS, STUMP, _cv, _holdout, _inputs, query, r6, union_all
 from panelcast.models.intermittent import demand_states, intermittent_rollout
 from panelcast.models.naive import naive_rollout
 from panelcast.models.trees import BoostedTrees
@@ -140,21 +140,18 @@ def location_clusters(spark, d):
 @query
 def fold_features_all(spark, d):
     """Rows and column sums of every fold's training frame, by whether the day was closed."""
-    data = bindings.load(spark, d)
+    data = _inputs(spark, d)
     visits, folds = _cv(data.visits)
     bt = backtest.Backtest(replace(data, visits=visits), folds, HORIZON)
     names = [TARGET, "lag_7", "roll_mean_7", "roll_median_28", "store_mean", "store_dow_median", "reserve_visitors"]
-    frames = [
-        bt.fold_features(s, [*names, "is_closed"]).groupBy("is_closed").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in names]).select(F.lit(s.fold).alias("fold"), "*")
-        for s in folds
-    ]
-    return r6(union_all(frames), *names, digits=3)
+    frames = bt.all_fold_features([*names, "is_closed"]).groupBy("fold", "is_closed")
+    return r6(frames.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in names]), *names, digits=3)
 
 
 @query
 def backtest_stump(spark, d):
     """A one-split tree, fitted anew in each of all folds and rolled out day by day."""
-    data = bindings.load(spark, d)
+    data = _inputs(spark, d)
     visits, folds = _cv(data.visits)
     bt = backtest.Backtest(replace(data, visits=visits), folds, HORIZON, parallel=4)
     spec = backtest.ModelSpec("stump", BoostedTrees, STUMP, is_tree=True)
@@ -165,7 +162,7 @@ def backtest_stump(spark, d):
 def holdout_stump(spark, d):
     """The holdout report of a one-split tree: fitted before the last weeks, met with the actuals."""
     spec = backtest.ModelSpec("stump", BoostedTrees, STUMP, is_tree=True)
-    return r6(selection.holdout_report(bindings.load(spark, d), spec, SETTINGS, selected=["is_closed"]), "y_pred")
+    return r6(selection.holdout_report(_inputs(spark, d), spec, SETTINGS, selected=["is_closed"]), "y_pred")
 
 
 @query
