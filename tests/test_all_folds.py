@@ -1,15 +1,19 @@
 """All folds' training frames in one plan, and fits on merged rows."""
 
+from dataclasses import replace
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
 from panelcast import session
+from panelcast.catalog import queries
 from panelcast.models.base import merge_rows
 from panelcast.models.trees import BoostedTrees
+from panelcast.operators.bookings import daily_bookings
 from panelcast.operators.splits import last_days, rolling_origin_splits
 from panelcast.plans.backtest import Backtest, ModelSpec
+from panelcast.sources import bindings
 
 STUMP = {"n_estimators": 1, "max_depth": 1, "learning_rate": 1.0, "subsample": 1.0, "colsample": 1.0}
 SPLITS = rolling_origin_splits(date(2016, 5, 31), 3, 7, 9)
@@ -66,3 +70,13 @@ def test_folds_share_one_table_of_merged_rows(data, monkeypatch):
     monkeypatch.setattr(bt, "fold_features", lambda *a: pytest.fail("read fold by fold"))
     spec = ModelSpec("stump", BoostedTrees, STUMP, is_tree=True)
     assert bt.predictions(spec, selected=["is_closed"]).count() > 0
+
+
+def test_trees_read_visits_and_bookings_from_tables(spark, data, monkeypatch):
+    summed = data.visits.groupBy("store_id", "date").agg(F.sum("visitors").alias("visitors"))
+    loaded = replace(data, visits=summed, reservations=daily_bookings(data.reservations))
+    monkeypatch.setattr(bindings, "load", lambda spark, d: loaded)
+    read = queries._tree_frame(spark, "")[0]
+    for got, want in ((read.visits, summed), (read.reservations, loaded.reservations)):
+        assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+        assert _rows(got) == _rows(want)
